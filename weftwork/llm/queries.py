@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import leakage, pairing, shared_spans, splitting
+from weftwork.llm import leakage, naming, pairing, shared_spans, splitting
 from weftwork.session import table
 
 
@@ -19,6 +19,14 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.groupBy("id").agg(F.when(F.bool_or(F.col("cut") == "forced"), "forced").otherwise("natural").alias("cut"))
 
 
+def p3_entities(spark: SparkSession, sf: str) -> DataFrame:
+    return naming.link_variants(table(spark, sf, "entity_registry"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return naming.same_pairs(p3_entities(spark, sf))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = pairing.co_occurrence(table(spark, sf, "entity_insight_links"), min_shared=5)
     return pairing.attracted(pairs).select(F.col("a").alias("entity_a_id"), F.col("b").alias("entity_b_id"))
@@ -54,6 +62,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces,
+    "p3_found": p3_found, "p3_entities": p3_entities,
     "p7_found": p7_found, "p7_co_occurrences": p7_co_occurrences,
     "p8_found": p8_found, "p8_leaks": p8_leaks,
     "p10_found": p10_found, "p10_coverage": p10_coverage,
