@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import leakage, naming, pairing, shared_spans, splitting
+from weftwork.llm import leakage, naming, newtext, pairing, shared_spans, splitting
 from weftwork.session import table
 
 
@@ -27,6 +27,14 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return naming.same_pairs(p3_entities(spark, sf))
 
 
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    return newtext.classified(table(spark, sf, "parsed_content")).where(F.col("kind") == "new").select("id", "line_no").distinct()
+
+
+def p5_new_text(spark: SparkSession, sf: str) -> DataFrame:
+    return newtext.new_text(table(spark, sf, "parsed_content"))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     pairs = pairing.co_occurrence(table(spark, sf, "entity_insight_links"), min_shared=5)
     return pairing.attracted(pairs).select(F.col("a").alias("entity_a_id"), F.col("b").alias("entity_b_id"))
@@ -63,6 +71,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_entities": p3_entities,
+    "p5_found": p5_found, "p5_new_text": p5_new_text,
     "p7_found": p7_found, "p7_co_occurrences": p7_co_occurrences,
     "p8_found": p8_found, "p8_leaks": p8_leaks,
     "p10_found": p10_found, "p10_coverage": p10_coverage,
