@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,6 +57,21 @@ def durable(df: DataFrame, name: str = "step") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once a context; needed where it is not installed there."""
+    context = spark.sparkContext
+    if getattr(context, "_weftwork_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    at = Path(tempfile.mkdtemp(prefix="weftwork-ship-")) / "weftwork_package.zip"
+    with zipfile.ZipFile(at, "w", zipfile.ZIP_DEFLATED) as out:
+        for p in sorted(root.rglob("*.py")):
+            out.write(p, str(p.relative_to(root.parent)))
+    context.addPyFile(str(at))
+    context._weftwork_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
