@@ -5,10 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import leakage, naming, newtext, pairing, shared_spans, splitting
+from weftwork.llm import leakage, naming, newtext, pairing, personal, shared_spans, splitting
 from weftwork.session import table
 
 
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.lit("documents").alias("src"), F.col("doc_id").alias("row_id"), "text")
+    mails = table(spark, sf, "parsed_content").select(F.lit("parsed_content").alias("src"), F.col("id").alias("row_id"), "text")
+    return docs.unionByName(mails)
+
+
+def _personal(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.find_personal(_texts(spark, sf), personal.learn_given(table(spark, sf, "parsed_content")))
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _personal(spark, sf).select("src", "row_id", "pii_type", "pii_text").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf: str) -> DataFrame:
+    return personal.redact(_texts(spark, sf).distinct(), _personal(spark, sf))
+
+
 def p2_pieces(spark: SparkSession, sf: str) -> DataFrame:
     chunks = table(spark, sf, "document_chunks").select("id", "content")
     return splitting.split_oversized(chunks)
@@ -69,6 +87,7 @@ def p10_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_redacted": p1_redacted,
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_entities": p3_entities,
     "p5_found": p5_found, "p5_new_text": p5_new_text,
