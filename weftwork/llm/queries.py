@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.llm import leakage, naming, newtext, pairing, personal, shared_spans, splitting
+from weftwork.llm import leakage, mixing, naming, newtext, pairing, personal, shared_spans, splitting
 from weftwork.session import table
 
 
@@ -76,6 +76,14 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return met.where(F.col("kind") == "verbatim").select("doc_id", "item_id").distinct()
 
 
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"))[0]
+
+
+def p9_shares(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix(table(spark, sf, "documents"), table(spark, sf, "source_targets"))[1]
+
+
 def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     classes, windows = shared_spans.shared_windows(table(spark, sf, "documents"))
     shared = classes.where(F.col("copies") == 1).join(windows.select(F.col("rep").alias("id")).distinct(), "id", "left_semi")
@@ -93,6 +101,7 @@ QUERIES = {
     "p5_found": p5_found, "p5_new_text": p5_new_text,
     "p7_found": p7_found, "p7_co_occurrences": p7_co_occurrences,
     "p8_found": p8_found, "p8_leaks": p8_leaks,
+    "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_coverage": p10_coverage,
 }
 
