@@ -6,7 +6,7 @@ ones, the cube method decides: the vector of inclusion probabilities is moved
 through the null space of the balancing constraints (documents and tokens of
 the source), a few records at a time, until each is 0 or 1 but for two a
 block. The two left of each block make the next, smaller round, and a landing
-problem of at most two records a source is solved by trying all outcomes.
+problem of a few records a source is solved by trying all outcomes.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from weftwork.session import durable
 
 BLOCK = 20_000  #: records of one flight, by hash of their id; bounds the memory of a task
+LANDING = 14  #: records a source that the landing decides on, by trying all outcomes
 DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -84,16 +85,14 @@ def flight(p: np.ndarray, tokens: np.ndarray, random: np.random.Generator) -> np
 
 
 def landing(p: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    """0 or 1 for at most a few fractions: the outcome whose token sum is nearest to the expected, then whose count is."""
+    """0 or 1 for the few fractions left (LANDING at most): of all outcomes whose count is nearest to the expected, the one whose token sum is."""
     free = np.flatnonzero((p > 0) & (p < 1))
-    best, chosen = None, p.copy()
-    for mask in range(1 << len(free)):
-        x = p.copy()
-        x[free] = [(mask >> k) & 1 for k in range(len(free))]
-        score = (abs((x - p) @ tokens), abs((x - p).sum()))
-        if best is None or score < best:
-            best, chosen = score, x
-    return chosen
+    outcomes = (np.arange(1 << len(free))[:, None] >> np.arange(len(free))) & 1
+    counts = np.abs(outcomes.sum(axis=1) - p[free].sum())
+    near = np.flatnonzero(counts <= counts.min() + 1e-6)
+    x = p.copy()
+    x[free] = outcomes[near[np.argmin(np.abs((outcomes[near] - p[free]) @ tokens[free]))]]
+    return x
 
 
 def plan(totals: pd.DataFrame, targets: pd.DataFrame, total_tokens: int | None = None) -> pd.DataFrame:
@@ -122,10 +121,11 @@ def _flier(seed: int, round_no: int, last: bool):
         rows = rows.sort_values("doc_id", ignore_index=True)
         key = [seed, round_no, len(rows), int(rows["tokens"].sum()) & 0x7FFFFFFF]
         rows = rows.iloc[np.random.default_rng(key).permutation(len(rows))]
-        # large records first: what is left for the landing is small
-        rows = rows.sort_values("tokens", ascending=False, kind="stable", ignore_index=True)
-        tokens = rows["tokens"].to_numpy(float)
-        p = flight(rows["p"].to_numpy(float), tokens, np.random.default_rng([*key, 1]))
+        rows = rows.reset_index(drop=True)
+        tokens, p = rows["tokens"].to_numpy(float), rows["p"].to_numpy(float)
+        # the last block keeps a few records out of the flight, so that the landing has sums to choose from
+        held = LANDING - 2 if last else 0
+        p[held:] = flight(p[held:], tokens[held:], np.random.default_rng([*key, 1]))
         rows["p"] = landing(p, tokens) if last else p
         return rows.drop(columns="block")
 
