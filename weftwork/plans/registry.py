@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.plans import general
+from weftwork.plans import general, signals, texts
 
-MODULES = [general]
+MODULES = [general, signals, texts]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracles() -> dict:
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
-    return general.p6_found(spark, sf)
+    return signals.t0_flagship(spark, sf)
