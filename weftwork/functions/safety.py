@@ -78,9 +78,14 @@ def pii_spans(text: str) -> list[dict]:
     return out
 
 
-@pandas_udf(SPANS)
-def detect_pii(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: pii_spans(t or ""))
+def detect_pii(text: Column | str) -> Column:
+    """The detections of each text, by an Arrow UDF."""
+
+    @pandas_udf(SPANS)
+    def find(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: pii_spans(t or ""))
+
+    return find(text)
 
 
 REDACTED = "struct<text:string,map:map<string,string>>"
@@ -99,9 +104,14 @@ def redact(text: str, numbered: bool = True) -> dict:
     return {"text": "".join([*parts, text[at:]]), "map": stands}
 
 
-@pandas_udf(REDACTED)
-def redact_pii(texts: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([redact(t) if t is not None else {"text": None, "map": {}} for t in texts], columns=["text", "map"])
+def redact_pii(text: Column | str) -> Column:
+    """``redact`` of each text, by an Arrow UDF; null stays null."""
+
+    @pandas_udf(REDACTED)
+    def replace(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([redact(t) if t is not None else {"text": None, "map": {}} for t in texts], columns=["text", "map"])
+
+    return replace(text)
 
 
 def injection_matches(text: Column) -> Column:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.plans import general, signals, texts
+from weftwork.plans import analytics, general, signals, texts
 
-MODULES = [general, signals, texts]
+MODULES = [general, signals, texts, analytics]
 
 
 def queries() -> dict:
