@@ -21,7 +21,7 @@ MAGIC = {"25504446": "pdf", "504B0304": "zip", "1F8B": "gzip", "D0CF11E0": "ole"
 
 
 def files(spark, path: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """path, modificationTime, length and content of files; content is read only where a plan uses it."""
+    """path, modificationTime, length and content of files; content is read only where a plan uses it. Spark's reader leaves out files without a byte."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", recursive)
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(path)
 
