@@ -50,7 +50,7 @@ _DOMAIN = re.compile(r"( ?)[A-Za-z0-9][A-Za-z0-9\-]*(?:(?:\.| ?[\[({] ?dot ?[\])
 _RUN = re.compile(r"\d(?:[\d ().\-/]{5,}\d|\d{5,})")
 _PHONE = re.compile(
     r"(?<![\w+.#/@\-])(?:"
-    r"(?P<strong>\+\d{1,3}[ .\-]?\(0\)[ .\-]?\d{1,4}(?:[ .\-]\d{2,4}){1,4}|\+\d{1,3}(?:[ .\-]\(?\d{1,5}\)?){2,6}|\+\d{8,15}|00\d{2}(?:[ .\-]\d{2,5}){2,5}"
+    r"(?P<strong>\+\d{1,3}[ .\-]?\(0\)[ .\-]?\d{1,4}(?:[ .\-]\d{2,4}){1,4}|\+\d{1,3}(?:[ .\-]\(?\d{1,6}\)?){2,6}|\+\d{8,15}|00\d{2}(?:[ .\-]\d{2,5}){2,5}"
     r"|1[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}|\(\d{2,5}\) ?\d{3,4}[ .\-]?\d{3,4}|0\d{2,4}/\d{5,9}|0\d(?:[ .]\d{2}){4}|\d{3}[.\-]\d{3}[.\-]\d{4}|0\d{3} \d{3} \d{3,4}|0\d{2} \d{4} \d{4}|0\d{4} \d{5,6}|0\d{3} \d{6,8}|0\d{9})"
     r"|(?P<weak>0\d{10}|[2-9]\d{2}[2-9]\d{6}|\d{3} \d{3} \d{4}|\d{3} \d{4}))(?![\w@]|[./\-]\d)"
 )
