@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -114,28 +114,44 @@ def redact_pii(text: Column | str) -> Column:
     return replace(text)
 
 
-def injection_matches(text: Column) -> Column:
-    """Number of matches of all patterns."""
-    first, *rest = [T.count_matches(text, p, "i" if loose else "") for _, _, p, loose in INJECTION]
-    return sum(rest, first)
-
-
-def injection_level(text: Column) -> Column:
-    """0 none to 4 critical; without a direct match, keywords of all three classes together are low."""
-    level = F.greatest(*[F.when(text.rlike(("(?i)" if loose else "") + p), risk).otherwise(0) for _, risk, p, loose in INJECTION])
+# Words of which a match of the pattern holds one; the regex runs only where one stands.
+NEEDED = {
+    "instruction_override": ["ignore"], "instruction_disregard": ["disregard"], "memory_wipe": ["forget"], "mode_switch": ["mode"], "role_change": ["pretend", "behave", "act as", "act like", "act "],
+    "persistent_change": ["from"], "prompt_extraction": ["prompt", "instruction"], "prompt_query": ["prompt", "instruction"], "prompt_repeat": ["repeat"], "xml_system_tag": ["system"], "xml_role_tag": ["<"],
+    "dan_jailbreak": ["dan", "anything"], "jailbreak_keyword": ["jailbreak"], "output_constraint": ["respond", "reply", "answer"], "delimiter_attack": ["system", "instruction", "prompt"],
+}
+
+
+def with_injection(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with matches, risk and confidence. Each pattern runs once a text; null and blank texts are clean.
+
+    risk is the greatest of the patterns that match; without any, keywords of
+    all three classes together are low. confidence is 0.3 and 0.15 a match,
+    at most 0.9.
+    """
+    t = F.coalesce(text, F.lit(""))
+    counts = []
+    for name, _, pattern, loose in INJECTION:
+        if name == "base64_content":
+            pattern = "(?<![A-Za-z0-9+/])" + pattern  # a run matches from its start or not at all
+        n = T.count_matches(t, pattern, "i" if loose else "")
+        if name in NEEDED:
+            may = F.col("_low").contains(NEEDED[name][0])
+            for word in NEEDED[name][1:]:
+                may = may | F.col("_low").contains(word)
+            if name == "role_change":
+                may = may | F.col("_low").rlike(r"act\s")
+            n = F.when(may, n).otherwise(0)
+        counts.append(n)
+    out = df.withColumn("_low", F.lower(t)).withColumn("_counts", F.array(*counts))
+    level = F.greatest(*[F.when(F.col("_counts")[k] > 0, risk).otherwise(0) for k, (_, risk, _, _) in enumerate(INJECTION)])
     together = F.lit(True)
     for p in COMBINED:
-        together = together & F.lower(text).rlike(p)
-    return F.when((level == 0) & together, 1).otherwise(level)
-
-
-def injection_risk(text: Column) -> Column:
-    return F.element_at(T.lit_array(RISKS), injection_level(text) + 1)
-
-
-def injection_confidence(text: Column) -> Column:
-    n = injection_matches(text)
-    return F.when(n > 0, F.least(F.lit(0.9), F.lit(0.3) + n * 0.15)).when(injection_level(text) > 0, 0.3).otherwise(0.0)
+        together = together & F.col("_low").rlike(p)
+    out = out.withColumns({"matches": F.aggregate("_counts", F.lit(0), lambda a, x: a + x).cast("long"), "_level": level})
+    out = out.withColumn("_level", F.when((F.col("_level") == 0) & together, 1).otherwise(F.col("_level")))
+    confidence = F.when(F.col("matches") > 0, F.least(F.lit(0.9), F.lit(0.3) + F.col("matches") * 0.15)).when(F.col("_level") > 0, 0.3).otherwise(0.0)
+    return out.withColumns({"risk": F.element_at(T.lit_array(RISKS), F.col("_level") + 1), "confidence": confidence}).drop("_low", "_counts", "_level")
 
 
 def without_secrets(text: Column) -> Column:

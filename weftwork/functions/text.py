@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -37,10 +39,10 @@ def contained(text: Column, phrases) -> Column:
 
 
 def whole_words(toks: Column, low: Column, terms) -> Column:
-    """Those of ``terms`` that stand in the text as whole words, sorted: single words by their set of tokens, phrases by containment."""
+    """Those of ``terms`` that stand in the text as whole words, sorted: single words by their tokens (``toks``, each once), phrases by containment."""
     single = [t for t in terms if " " not in t]
     phrases = [t for t in terms if " " in t]
-    found = F.array_intersect(F.array_distinct(toks), lit_array(single)) if single else F.array().cast("array<string>")
+    found = F.array_intersect(toks, lit_array(single)) if single else F.array().cast("array<string>")
     if phrases:
         found = F.concat(found, F.array_compact(F.array(*[F.when(low.contains(p), F.lit(p)) for p in phrases])))
     return F.array_sort(found)
@@ -54,6 +56,23 @@ def count_matches(text: Column, pattern: str, flags: str = "i") -> Column:
     return F.size(F.regexp_extract_all(text, F.lit((f"(?{flags})" if flags else "") + pattern), F.lit(0)))
 
 
+def fragment(pattern: str) -> str:
+    """Text that any match of ``pattern`` begins with, lower case; empty if there is none."""
+    body = re.sub(r"^\\b", "", pattern)
+    found = re.match(r"[A-Za-z' ]+", body)
+    if not found:
+        return ""
+    whole = found.group()
+    optional = len(whole) < len(body) and body[len(whole)] in "?*{"
+    return (whole[:-1] if optional else whole).lower()
+
+
+def when_contained(low: Column, pattern: str, value: Column, otherwise: Column) -> Column:
+    """``value`` where the lower-case text can match ``pattern`` at all: a plain search is far cheaper than the regex."""
+    part = fragment(pattern)
+    return F.when(low.contains(part), value).otherwise(otherwise) if part else value
+
+
 def distinct_by_lower(values: Column, cap: int) -> Column:
     """The first of each spelling without case, in order, at most ``cap``."""
     low = F.transform(values, lambda v: F.lower(F.trim(v)))

@@ -12,9 +12,10 @@ THEMES, WORDS = 0.6, 0.4
 
 
 def jaccard(a: Column, b: Column) -> Column:
-    """Of two arrays of different values; 0 if both are empty."""
-    either = F.size(F.array_union(a, b))
-    return F.when(either > 0, F.size(F.array_intersect(a, b)) / either).otherwise(F.lit(0.0))
+    """Of two arrays that hold each value once; 0 if both are empty."""
+    both = F.size(F.array_intersect(a, b))
+    either = F.size(a) + F.size(b) - both
+    return F.when(either > 0, both / either).otherwise(F.lit(0.0))
 
 
 def bags(df: DataFrame, themes: str = "themes", summary: str = "summary") -> DataFrame:
@@ -47,7 +48,9 @@ def best_match(new: DataFrame, existing: DataFrame, key: str = "id", threshold:
 
     a, b = prefix(left).alias("a"), prefix(right).alias("b")
     pairs = a.join(b, F.col("a._t") == F.col("b._t")).where(F.col(f"a.{key}") != F.col(f"b.{key}"))
-    pairs = pairs.where(jaccard(F.col("a._themes"), F.col("b._themes")) >= need - 1e-9)
+    # the numbers of words bound their similarity: few pairs are left for the words themselves
+    sizes = F.least(F.size("a._words"), F.size("b._words")) / F.greatest(F.lit(1), F.size("a._words"), F.size("b._words"))
+    pairs = pairs.where(F.lit(THEMES) * jaccard(F.col("a._themes"), F.col("b._themes")) + F.lit(WORDS) * sizes >= threshold - 1e-9)
     scored = pairs.select(F.col(f"a.{key}").alias(key), F.col(f"b.{key}").alias("match"), score("a", "b").alias("score")).where(F.col("score") >= threshold)
     return scored.groupBy(key).agg(F.max_by(F.struct("match", "score"), F.struct("score", -F.col("match"))).alias("m")).select(key, "m.match", "m.score")
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from weftwork.functions import lexicons as L
 from weftwork.functions import signals as S
 from weftwork.functions import text as T
-from weftwork.session import table
+from weftwork.session import spread, table
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text", "lang")
+    return spread(table(spark, sf, "documents").select("doc_id", "text", "lang"))
 
 
 def _pick(*columns: str):

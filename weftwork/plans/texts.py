@@ -10,11 +10,11 @@ from weftwork.functions import safety as S
 from weftwork.functions import text as T
 from weftwork.operators import chunking
 from weftwork.plans.signals import q
-from weftwork.session import table
+from weftwork.session import spread, table
 
 
 def _docs(spark: SparkSession, sf: str, text: str = "text") -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return spread(table(spark, sf, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")))
 
 
 def pii_types(spark: SparkSession, sf: str) -> DataFrame:
@@ -34,8 +34,7 @@ def pii_redact(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def injection_detect(spark: SparkSession, sf: str) -> DataFrame:
-    t = F.col("text")
-    return _docs(spark, sf).select("doc_id", S.injection_matches(t).cast("long").alias("matches"), S.injection_risk(t).alias("risk"), S.injection_confidence(t).alias("confidence"))
+    return S.with_injection(_docs(spark, sf)).select("doc_id", "matches", "risk", "confidence")
 
 
 def secrets_sanitise(spark: SparkSession, sf: str) -> DataFrame:

@@ -75,3 +75,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One input table."""
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores, for work that costs far more than moving its rows.
+
+    A table of few small files would keep most cores idle; one that is read
+    in enough parts, as any large table is, is left alone and not shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
