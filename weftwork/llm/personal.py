@@ -12,6 +12,7 @@ reach the driver.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -83,7 +84,7 @@ _CUES = {
     "name": re.compile(r"(?:\b(?:dr|mr|mrs|ms|prof|miss|sir|frau|herr|mme|señora?|sra?)\b\.?|with|from|to|cc|von|an|de|à|para|by|ich|croisé|con|thanks|regards|sincerely|grüße|cordialement|saludos|[\"<>:,*\-])\s*$", re.I),
 }
 _AFTER = {
-    "phone": re.compile(r"\s*(?:once|\(|zurück|ce soir|por la|\.|,|$|\n|\r)", re.I),
+    "phone": re.compile(r"\s*(?:once|\(|zurück|ce soir|por la|\.|,|$|\n|\r)"),
     "id_number": re.compile(r"\s*(?:was on|\.|,|$|\n|\r)", re.I),
     "address": re.compile(r"\s*(?:in spring|at the|,|\.|um\b|desde|depuis|$|\n|\r)", re.I),
     "name": re.compile(r"\s*(?:[\"<,.:]|never|changed|about|for|hat|nicht|getroffen|au|n'a|no\b|en la|wrote|schrieb|a écrit|escribió|$|\n|\r)", re.I),
@@ -99,11 +100,14 @@ _NO_FAMILY = set(
 
 
 def known_given(extra: list[str] = ()) -> set[str]:
-    names = {n for full in NICKNAMES for n in [full]} | {s for shorts in NICKNAMES.values() for s in shorts.split() if len(s) > 3} | set(GIVEN) | set(extra)
-    import unicodedata
+    """Given names as they may be written: full ones in any case, short ones (of more than three letters) with a capital only, as many are words too."""
+    full = set(NICKNAMES) | set(GIVEN) | set(extra)
+    short = {s for shorts in NICKNAMES.values() for s in shorts.split() if len(s) > 3} - full
+    return {form for n in full | {_plain(n) for n in full} for form in (n, n.title(), n.upper())} | {n.title() for n in short}
 
-    plain = {"".join(c for c in unicodedata.normalize("NFKD", n.replace("ø", "o").replace("ł", "l")) if not unicodedata.combining(c)) for n in names}
-    return {form for n in names | plain for form in (n, n.title(), n.upper())}
+
+def _plain(name: str) -> str:
+    return "".join(c for c in unicodedata.normalize("NFKD", name.replace("ø", "o").replace("ł", "l")) if not unicodedata.combining(c))
 
 
 def _context(t: str, s: int, e: int, kind: str) -> tuple[int, int]:
@@ -376,7 +380,8 @@ def find_personal(texts: DataFrame, given: list[str] = (), threshold: float = TH
     if model is None:
         return found.select("src", "row_id", F.col("kind").alias("pii_type"), F.col("found").alias("pii_text"), "start", "end", F.lit(0.0).alias("p"))
     kept = found.join(F.broadcast(model), key).where(F.col("p") >= threshold)
-    same = kept.groupBy("src", "row_id", "start", "end").agg(F.max(F.struct("p", "kind", "found")).alias("b"))
+    # one place read as two types: the words before it decide, then the probability
+    same = kept.groupBy("src", "row_id", "start", "end").agg(F.max(F.struct("before", "p", "kind", "found")).alias("b"))
     return same.select("src", "row_id", F.col("b.kind").alias("pii_type"), F.col("b.found").alias("pii_text"), "start", "end", F.col("b.p").alias("p"))
 
 
