@@ -8,7 +8,6 @@ by a consistent renaming: the item was re-parameterised.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,13 +35,16 @@ BITS = 20  #: of the bitmap that thins out windows before the join: 2**20 bits,
 TOKEN = r"[^\p{L}\p{N}]+"
 
 
-def item_names(items: list[str]) -> list[str]:
-    """Words that items write with a capital inside a sentence: names. Lower case; the number of items bounds them."""
-    found = set()
-    for text in items:
-        for m in re.finditer(r"(?<=[\w,;:] )([A-ZÀ-ÖØ-Þ][\w]+)", text or ""):
-            found.add(m.group(1).lower())
-    return sorted(found - set(NUMBER_WORDS) - set(UNIT_WORDS))
+#: Names kept from the items, the most frequent ones; a name that is not kept is a plain word, which costs a slot and no verbatim match.
+MAX_NAMES = 20_000
+
+
+def item_names(items: DataFrame, text: str, most: int = MAX_NAMES) -> list[str]:
+    """Words that items write with a capital inside a sentence: names, in lower case."""
+    found = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=[\p{L}\p{N},;:] )(\p{Lu}[\p{L}\p{N}]+)"), F.lit(1)))
+    counts = items.where(F.col(text).isNotNull()).select(F.lower(found).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    rows = counts.orderBy(F.desc("n"), "name").limit(most).collect()
+    return sorted({r["name"] for r in rows} - set(NUMBER_WORDS) - set(UNIT_WORDS))
 
 
 def _word_hash(words: pa.Array, seed: int) -> np.ndarray:
@@ -149,11 +151,10 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     The items' windows are held against all documents: a bitmap of fixed size
     thins the documents' windows inside the scan (it can only let too many
     pass), then the two are joined on the hash and compared word by word.
-    Names are learned from the items, whose number bounds them.
+    Names are learned from the items.
     """
     spark = documents.sparkSession
-    texts = [r[0] for r in items.select(text).where(F.col(text).isNotNull()).toLocalIterator()]
-    names = item_names(texts)
+    names = item_names(items, text)
     of_items = durable(template_windows(items, item_key, text, Templates(width, names, merge)), "p8-items")
     bitmap = bytearray(1 << BITS >> 3)
     for row in of_items.select((F.col("window").bitwiseAND((1 << BITS) - 1)).alias("b")).distinct().toLocalIterator():
