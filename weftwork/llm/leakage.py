@@ -42,7 +42,7 @@ MAX_NAMES = 20_000
 def item_names(items: DataFrame, text: str, most: int = MAX_NAMES) -> list[str]:
     """Words that items write with a capital inside a sentence: names, in lower case."""
     found = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=[\p{L}\p{N},;:] )(\p{Lu}[\p{L}\p{N}]+)"), F.lit(1)))
-    counts = items.where(F.col(text).isNotNull()).select(F.lower(found).alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    counts = items.where(F.col(text).isNotNull()).select(found.alias("name")).groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n"))
     rows = counts.orderBy(F.desc("n"), "name").limit(most).collect()
     return sorted({r["name"] for r in rows} - set(NUMBER_WORDS) - set(UNIT_WORDS))
 
