@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions import signals
 from weftwork.functions import text as T
-from weftwork.operators import chunking, clustering, graph, matching, mutations, similarity, stats
+from weftwork.operators import chunking, clustering, graph, matching, mutations, patterns, similarity, stats
 from weftwork.plans import views as V
 from weftwork.session import table
 
@@ -459,3 +459,55 @@ def preflight_filter(spark: SparkSession, sf: str) -> DataFrame:
 @query(f"""WITH {V.INSIGHTS} SELECT id, CASE WHEN id % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS sentiment FROM insights""")
 def emotion_sentiment(spark: SparkSession, sf: str) -> DataFrame:
     return V.insights(spark, sf).select("id", stats.emotion_sentiment(F.col("emotional_tags")).alias("sentiment"))
+
+
+_members = f"""WITH {V.INSIGHTS}, m AS (SELECT DISTINCT 'theme:' || unnest(themes) AS cluster, id FROM insights UNION SELECT 'case:' || case_id, id FROM insights WHERE case_id IS NOT NULL),
+n AS (SELECT cluster, count(*) AS n FROM m GROUP BY 1), s AS (SELECT x.cluster AS a, y.cluster AS b, count(*) AS shared FROM m x JOIN m y ON x.id = y.id AND x.cluster < y.cluster GROUP BY 1, 2)"""
+
+
+def _clusters(spark, sf):
+    rows = V.insights(spark, sf)
+    return rows.select(F.explode(F.transform("themes", lambda t: F.concat(F.lit("theme:"), t))).alias("cluster"), "id").unionByName(rows.where("case_id is not null").select(F.concat(F.lit("case:"), "case_id").alias("cluster"), "id"))
+
+
+@query(_members + """ SELECT a, b, shared, round(CAST(shared AS DOUBLE) / (na.n + nb.n - shared), 9) AS similarity FROM s JOIN n na ON na.cluster = a JOIN n nb ON nb.cluster = b WHERE CAST(shared AS DOUBLE) / (na.n + nb.n - shared) >= 0.05""")
+def pattern_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    return patterns.overlapping(_clusters(spark, sf), 0.05).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(_members + """ SELECT DISTINCT a, b FROM s WHERE split_part(a, ':', 1) = split_part(b, ':', 1)""")
+def syntheses_related(spark: SparkSession, sf: str) -> DataFrame:
+    """Clusters of one kind that share an insight; the insights stand for patterns."""
+    rows = _clusters(spark, sf).groupBy(F.col("cluster").alias("id"), F.split("cluster", ":")[0].alias("kind")).agg(F.collect_set("id").alias("pattern_ids"))
+    return patterns.related(rows)
+
+
+@query(f"""WITH {V.INSIGHTS} SELECT 'insight' AS source, id, significance * 0.5 AS significance, CAST(0.3 AS DOUBLE) AS confidence FROM insights ORDER BY insights.significance DESC, id LIMIT 3""")
+def emerging_themes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = V.insights(spark, sf)
+    none = rows.limit(0).select("id", "summary", F.lit(0.0).alias("strength"))
+    return patterns.emerging(none, rows).select("source", "id", "significance", "confidence")
+
+
+@query(f"""WITH {V.INSIGHTS} SELECT status, count(*) AS n, round(avg(confidence), 6) AS mean, min(confidence) AS least, max(confidence) AS greatest, round(CAST(count(*) FILTER (confidence >= 0.5) AS DOUBLE) / count(*), 6) AS pass_rate FROM insights GROUP BY 1""")
+def agg_critique_stats(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores by status, and the share that passes 0.5."""
+    out = V.insights(spark, sf).groupBy("status").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 6).alias("mean"), F.min("confidence").alias("least"), F.max("confidence").alias("greatest"), F.count_if(F.col("confidence") >= 0.5).alias("ok"))
+    return out.select("status", "n", "mean", "least", "greatest", F.round(F.col("ok") / F.col("n"), 6).alias("pass_rate"))
+
+
+@query(f"""WITH {V.INSIGHTS} SELECT coalesce(case_id, 'none') AS case_id, count(*) AS n, count(*) FILTER (status = 'surfaced') AS verified, CAST(round(100.0 * count(*) FILTER (status = 'surfaced') / count(*), 1) AS DOUBLE) AS verified_rate FROM insights GROUP BY 1""")
+def agg_findings_stats(spark: SparkSession, sf: str) -> DataFrame:
+    out = V.insights(spark, sf).groupBy(F.coalesce("case_id", F.lit("none")).alias("case_id")).agg(F.count("*").alias("n"), F.count_if(F.col("status") == "surfaced").alias("verified"))
+    return out.withColumn("verified_rate", F.round(F.col("verified") * 100 / F.col("n"), 1))
+
+
+@query("""SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('purchase', 'error') AND ts >= TIMESTAMP '2024-01-10 00:00:00' AND ts < TIMESTAMP '2024-01-12 00:00:00' ORDER BY ts DESC, event_id LIMIT 50""")
+def filt_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "events").where(F.col("event_type").isin("purchase", "error") & (F.col("ts") >= F.lit("2024-01-10").cast("timestamp_ntz")) & (F.col("ts") < F.lit("2024-01-12").cast("timestamp_ntz")))
+    return rows.orderBy(F.desc("ts"), "event_id").limit(50).select("event_id", "event_type", "user_id")
+
+
+@query("""WITH j AS (SELECT DISTINCT ON (id) id, file_size, ingested_at FROM ingested_documents WHERE status = 'pending') SELECT id FROM j ORDER BY file_size DESC, ingested_at, id LIMIT 10""")
+def topk_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    return _docs(spark, sf).where("status = 'pending'").orderBy(F.desc("file_size"), "ingested_at", "id").limit(10).select("id")
