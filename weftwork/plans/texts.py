@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftwork.functions import replies
+from weftwork.functions import replies, rules
 from weftwork.functions import safety as S
 from weftwork.functions import text as T
 from weftwork.operators import chunking
@@ -85,7 +85,28 @@ def parse_replies(spark: SparkSession, sf: str) -> DataFrame:
     return replies.parse_insights(_docs(spark, sf).withColumn("reply", reply), "reply").select("doc_id", "ordinal", "summary", "significance", "confidence", "insight_type", F.array_join("themes", "|").alias("themes"))
 
 
-QUERIES = {f.__name__: f for f in (pii_types, pii_counts, pii_spans, pii_redact, injection_detect, secrets_sanitise, html_strip, pdf_clean, normalise_values, content_hash, doc_truncate, chunk_text, chunk_pages, parse_replies)}
+COMMANDS = [("remove", r"\b(?:remove|exclude|drop|quietly dropped)\b\s+(\w+)"), ("show", r"\b(?:show|open|shared)\b\s+(?:the\s+)?(\w+)"), ("count", r"how\s+many\s+(\w+)"), ("find", r"\b(?:find|search|looking)\b\s+(\w+)")]
+
+
+def intent_classify(spark: SparkSession, sf: str) -> DataFrame:
+    """The first command that a text gives, and what it is about."""
+    t = F.col("text")
+    return _docs(spark, sf).select("doc_id", rules.first_match(t, COMMANDS, "none").alias("intent"), rules.captured(t, COMMANDS).alias("about"))
+
+
+def age_at(spark: SparkSession, sf: str) -> DataFrame:
+    """Completed years of each order on the last day of orders."""
+    orders = table(spark, sf, "orders")
+    return orders.select("o_orderkey", rules.age_at(F.to_date("o_orderdate"), F.lit("2026-03-01").cast("date")).cast("long").alias("age"))
+
+
+def event_description(spark: SparkSession, sf: str) -> DataFrame:
+    e = table(spark, sf, "events")
+    made = {"purchase": F.concat(F.lit("Bought something by user "), F.col("user_id").cast("string")), "error": F.lit("Something failed")}
+    return e.select("event_id", rules.described(F.col("event_type"), made).alias("description"))
+
+
+QUERIES = {f.__name__: f for f in (intent_classify, age_at, event_description, pii_types, pii_counts, pii_spans, pii_redact, injection_detect, secrets_sanitise, html_strip, pdf_clean, normalise_values, content_hash, doc_truncate, chunk_text, chunk_pages, parse_replies)}
 
 _D = "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents) "
 
@@ -120,6 +141,9 @@ def _chain(expression: str, steps) -> str:
 
 _page = "'<html><head><style>p {}</style><script>x < 1</script></head><body><p>' || regexp_replace(text, chr(10) || '+', '</p>' || chr(10) || '<p>', 'g') || '</p>&nbsp;A &amp; B</body></html>'"
 ORACLES = {
+    "intent_classify": _D + "SELECT doc_id, CASE " + " ".join(f"WHEN {_hit(p, True)} THEN '{n}'" for n, p in COMMANDS) + " ELSE 'none' END AS intent, CASE " + " ".join(f"WHEN {_hit(p, True)} THEN regexp_extract(text, {q('(?i)' + p)}, 1)" for _, p in COMMANDS) + " END AS about FROM d",
+    "age_at": "SELECT o_orderkey, date_sub('year', CAST(o_orderdate AS DATE), DATE '2026-03-01') AS age FROM orders",
+    "event_description": "SELECT event_id, CASE event_type WHEN 'purchase' THEN 'Bought something by user ' || user_id WHEN 'error' THEN 'Something failed' ELSE event_type END AS description FROM events",
     "pii_types": _D + f"SELECT doc_id, array_to_string(list_sort(list_filter([{_type_cases}], lambda x: x IS NOT NULL)), '|') AS types FROM d",
     "pii_counts": _D + "SELECT doc_id, " + ", ".join("+".join(_n(p, c) for k, p, c in S.PII if k == kind) + f" AS {kind}" for kind in _kinds) + " FROM d",
     "injection_detect": _D + f", m AS (SELECT doc_id, {_inj_n} AS matches, CASE WHEN {_level} = 0 AND {_together} THEN 1 ELSE {_level} END AS level FROM d) SELECT doc_id, matches, ['none', 'low', 'medium', 'high', 'critical'][level + 1] AS risk, CAST(CASE WHEN matches > 0 THEN least(0.9::DOUBLE, 0.3::DOUBLE + matches * 0.15::DOUBLE) WHEN level > 0 THEN 0.3 ELSE 0.0 END AS DOUBLE) AS confidence FROM m",
