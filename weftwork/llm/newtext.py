@@ -11,7 +11,7 @@ messages are closing lines. All of it is SQL windows over lines.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftwork.operators.instants import normalise_instants
@@ -46,102 +46,132 @@ DISCLAIMER = (
 )
 
 
-def message_lines(messages: DataFrame) -> DataFrame:
-    """(id, line_no, line, norm, sender, thread, at) of every non-blank line of e-mails; rows repeated whole count once.
+#: Bits of a line's marks.
+_BITS = ["quote", "header", "header_from", "rule", "original", "delimiter", "wrote_only", "wrote", "dated", "at_colon", "holds_at", "signs_off", "device", "disclaims"]
+
+
+def _bit(name: str) -> Column:
+    return F.col("marks").bitwiseAND(1 << _BITS.index(name)) != 0
+
+
+def _messages(messages: DataFrame) -> DataFrame:
+    """(id, text, sender, thread, at) of e-mails with text, once an id (of rows that differ the greatest text holds), divided by id.
 
-    Lines are split at \\n and counted from 0, blank ones included in the
-    count. sender is the address in author, else in the first From line.
+    sender is the address in author, else in the first From line, and thread
+    the topic and the people of it; both as 64-bit hashes.
     """
     mails = messages.where(F.get_json_object("metadata", "$.format").isin(*FORMATS) & F.col("text").isNotNull())
-    mails = mails.select(
-        "id", "text", "author", "date", "subject", "recipients", F.get_json_object("metadata", "$.tz").alias("tz"), F.get_json_object("metadata", "$.locale").alias("locale")
-    ).dropDuplicates(["id", "text"])
+    mails = mails.select("id", "text", "author", "date", "subject", "recipients", F.get_json_object("metadata", "$.tz").alias("tz"), F.get_json_object("metadata", "$.locale").alias("locale"))
     mails = normalise_instants(mails, "date", "tz", "locale", "at")
     address = r"[\w.+\-]+@[\w.\-]+\w"
+    in_text = lambda c: F.nullif(F.regexp_extract(c, address, 0), F.lit(""))
     from_line = F.regexp_extract("text", r"(?im)\A\s*from:(.*)$", 1)
-    sender = F.lower(F.coalesce(F.nullif(F.regexp_extract("author", address, 0), F.lit("")), F.nullif(F.regexp_extract(from_line, address, 0), F.lit("")), F.nullif(F.trim("author"), F.lit("")), F.lit("?")))
+    sender = F.lower(F.coalesce(in_text("author"), in_text(from_line), F.nullif(F.trim("author"), F.lit("")), F.lit("?")))
     topic = F.lower(F.trim(F.regexp_replace(F.coalesce("subject", F.lit("")), r"(?i)^(\s*(re|aw|fwd|fw|wg|tr|rv|sv)\s*:)+", "")))
-    people = F.array_sort(F.array_distinct(F.concat(F.array(sender), F.transform(F.coalesce("recipients", F.array().cast("array<string>")), lambda r: F.lower(F.coalesce(F.nullif(F.regexp_extract(r, address, 0), F.lit("")), r, F.lit("?")))))))
-    lines = mails.select("id", sender.alias("sender"), F.concat_ws("\u0001", topic, F.array_join(people, ",")).alias("thread"), "at", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    squeezed = F.trim(F.regexp_replace(F.regexp_replace("line", "^[>\\s]+", ""), r"[\s ]+", " "))
-    return lines.withColumns({"line_no": F.col("line_no").cast("long"), "norm": F.lower(squeezed)}).where(F.regexp_replace("line", r"[\s ​]+", "") != "")
+    others = F.transform(F.coalesce("recipients", F.array().cast("array<string>")), lambda r: F.lower(F.coalesce(F.nullif(F.regexp_extract(r, address, 0), F.lit("")), r, F.lit("?"))))
+    people = F.array_join(F.array_sort(F.array_distinct(F.concat(F.array(sender), others))), ",")
+    made = mails.select("id", "text", F.xxhash64(sender).alias("sender"), F.xxhash64(topic, people).alias("thread"), "at")
+    return made.groupBy("id").agg(F.max(F.struct("text", "sender", "thread", "at")).alias("m")).select("id", "m.*")
+
+
+def message_lines(messages: DataFrame) -> DataFrame:
+    """(id, line_no, line, sender, thread, at) of every non-blank line; lines are split at \\n and counted from 0, blank ones included in the count."""
+    lines = _messages(messages).select("id", "sender", "thread", "at", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    return lines.withColumn("line_no", F.col("line_no").cast("long")).where(F.col("line").rlike(r"[^\s ​]"))
+
+
+def _marked(lines: DataFrame) -> DataFrame:
+    """Lines as (id, line_no, sender, thread, at, norm, size, marks): what later steps need, without the text.
+
+    norm is the 64-bit hash of the line without quote marks, case and repeated
+    blanks, size its length. Of a quoted line nothing but that is marked.
+    """
+    line = F.col("line")
+    rows = lines.withColumn("_norm", F.lower(F.trim(F.regexp_replace(F.regexp_replace("line", "^[>\\s]+", ""), r"[\s ]+", " "))))
+    bare = F.regexp_replace("_norm", r"[\s,.;:!\-–—]+$", "")
+    holds_at, wrote_word, short = line.contains("@"), line.rlike(WROTE), F.length(line) <= 60
+    tests = {
+        "header": line.contains(":") & line.rlike(HEADER) & (~line.rlike(PEOPLE) | holds_at), "header_from": line.contains(":") & line.rlike(HEADER_FROM), "rule": line.startswith("_") & line.rlike(RULE),
+        "original": line.rlike(ORIGINAL), "delimiter": short & line.rlike(DELIMITER),
+        "wrote_only": wrote_word & (line.rlike(rf"(?i)^\s*{WROTE}\s*:?\s*$") | line.rlike(rf"(?i)^[^>]*@\S+>?\s+{WROTE}\s*:\s*$")),
+        "wrote": wrote_word & (line.rlike(rf"(?i)(@.*|^\s*(on|am|le|el)\b.*\d.*){WROTE}\s*:?\s*$") | line.rlike(rf"(?i)^\s*(am|on|le|el)\b.*\d.*{WROTE}\b.*:\s*$")),
+        "dated": line.rlike(r"(?i)^\s*(on|am|le|el)\s.*\d") & line.rlike(r"@|,\s*$"), "at_colon": holds_at & line.rlike(r"@\S+\s*:\s*$"), "holds_at": holds_at,
+        "signs_off": short & bare.isin(CLOSINGS), "device": line.rlike(DEVICE), "disclaims": (F.length(line) > 25) & line.rlike(DISCLAIMER),
+    }
+    total = F.lit(0)
+    for name, test in tests.items():
+        total = total + F.when(test, 1 << _BITS.index(name)).otherwise(0)
+    marks = F.when(line.rlike(QUOTE), 1).otherwise(total).cast("int")
+    return rows.select("id", "line_no", "sender", "thread", "at", F.xxhash64("_norm").alias("norm"), F.length("_norm").alias("size"), marks.alias("marks"))
 
 
 def classified(messages: DataFrame, first_author_chars: int = 40, sender_recurs: int = 3, senders_recur: int = 5) -> DataFrame:
-    """(id, line_no, line, kind) of every non-blank line; kind is new, header, quote, intro, original, closing, disclaimer or not_first.
+    """(id, line_no, kind) of every non-blank line; kind is new, header, quote, intro, original, closing, disclaimer or not_first.
 
     ``first_author_chars``: shorter lines are not evidence of copying.
     ``sender_recurs``, ``senders_recur``: messages of one sender, and senders,
     in which a line after the body's first makes it a closing line. Null
     author, subject, recipients or date: what they would tell is not used.
+
+    Messages are moved once, by id; their lines stay where they are for the
+    windows, and only marks and hashes of lines are kept and moved after that.
     """
-    lines = durable(message_lines(messages), "p5-lines")
+    x = _marked(message_lines(messages))
     order = Window.partitionBy("id").orderBy("line_no")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    line = F.col("line")
-    bare = F.regexp_replace("norm", r"[\s,.;:!\-–—]+$", "")
-    x = lines.withColumns(
-        {
-            "header": line.rlike(HEADER) & (~line.rlike(PEOPLE) | line.contains("@")), "quote": line.rlike(QUOTE), "rule": line.rlike(RULE), "original": line.rlike(ORIGINAL), "delimiter": line.rlike(DELIMITER),
-            "wrote_only": line.rlike(rf"(?i)^\s*>*\s*{WROTE}\s*:?\s*$") | line.rlike(rf"(?i)^[^>]*@\S+>?\s+{WROTE}\s*:\s*$"),
-            "wrote": line.rlike(rf"(?i)(@.*|^\s*(on|am|le|el)\b.*\d.*){WROTE}\s*:?\s*$") | line.rlike(rf"(?i)^\s*(am|on|le|el)\b.*\d.*{WROTE}\b.*:\s*$"),
-            "dated": line.rlike(r"(?i)^\s*(on|am|le|el)\s.*\d") & line.rlike(r"@|,\s*$"),
-            "signs_off": bare.isin(CLOSINGS), "device": line.rlike(DEVICE), "disclaims": line.rlike(DISCLAIMER) & (F.length("line") > 25),
-        }
-    )
-    nxt = lambda c: F.coalesce(F.lead(c).over(order), F.lit(False))
-    prv = lambda c: F.coalesce(F.lag(c).over(order), F.lit(False))
+    any_so_far = lambda c: F.coalesce(F.max(c.cast("int")).over(so_far), F.lit(0)) == 1
+    after = lambda name: F.coalesce(F.lead(F.col("marks")).over(order).bitwiseAND(1 << _BITS.index(name)) != 0, F.lit(False))
+    prior = lambda name: F.coalesce(F.lag(F.col("marks")).over(order).bitwiseAND(1 << _BITS.index(name)) != 0, F.lit(False))
+    plain = ~_bit("quote")
     x = x.withColumns(
         {
-            "head": F.col("header") & (F.coalesce(F.sum(F.when(~F.col("header"), 1).otherwise(0)).over(so_far), F.lit(0)) == 0),
-            "intro": ~F.col("quote") & (F.col("wrote") | (line.rlike(r"@\S+\s*:\s*$") & nxt("quote")) | (F.col("dated") & nxt("wrote_only")) | (F.col("wrote_only") & (prv("dated") | (F.lag("line").over(order).rlike("@"))))),
-            "starts_original": ~F.col("quote") & (F.col("original") | (F.col("rule") & nxt("header")) | (line.rlike(HEADER_FROM) & nxt("header"))),
+            "head": _bit("header") & (F.sum((~_bit("header")).cast("int")).over(so_far) == 0),
+            "intro": plain & (_bit("wrote") | (_bit("at_colon") & after("quote")) | (_bit("dated") & after("wrote_only")) | (_bit("wrote_only") & (prior("dated") | prior("holds_at")))),
+            "starts": plain & (_bit("original") | (_bit("rule") & after("header")) | (_bit("header_from") & after("header"))),
+            "quoted_next": after("quote"),
         }
     )
-    x = x.withColumn("starts_original", F.col("starts_original") & ~F.col("head"))
-    x = x.withColumn("in_original", F.coalesce(F.max(F.col("starts_original").cast("int")).over(so_far), F.lit(0)) == 1)
     # an introduction that no marked line follows opens a quotation without marks
-    x = x.withColumn("unmarked", F.col("intro") & ~nxt("quote") & ~nxt("intro"))
-    x = x.withColumn("in_unmarked", F.coalesce(F.max(F.col("unmarked").cast("int")).over(so_far), F.lit(0)) == 1)
-    content = ~(F.col("head") | F.col("quote") | F.col("intro") | F.col("in_original") | F.col("in_unmarked"))
-    x = durable(x.select("id", "line_no", "line", "norm", "sender", "thread", "at", "head", "quote", "intro", "in_original", "in_unmarked", "signs_off", "delimiter", "device", "disclaims", content.alias("content")), "p5-marked")
+    x = x.withColumns({"in_original": any_so_far(F.col("starts") & ~F.col("head")), "in_unmarked": any_so_far(F.col("intro") & ~F.col("quoted_next") & ~F.coalesce(F.lead("intro").over(order), F.lit(False)))})
+    part = (
+        F.when(F.col("head"), "header").when(F.col("in_original"), "original").when(_bit("quote"), "quote").when(F.col("intro"), "intro").when(F.col("in_unmarked"), "quote").otherwise("content")
+    )
+    x = x.withColumn("part", part).withColumn("content", F.col("part") == "content")
+    x = x.withColumns({"nth": F.sum(F.col("content").cast("int")).over(so_far), "opened": F.coalesce(F.max((F.col("content") & (_bit("signs_off") | _bit("delimiter"))).cast("int")).over(before), F.lit(0)) == 1})
+    x = durable(x.select("id", "line_no", "sender", "thread", "at", "norm", "size", "marks", "part", "nth", "opened"), "p5-marked")
 
     # recurrence, counted over all messages; only content lines after the first one of their message count as closing lines
-    nth = F.sum(F.col("content").cast("int")).over(so_far)
-    later = x.withColumn("nth", nth).where("content and nth > 1").select("id", "line_no", "norm", "sender")
-    recurs = later.groupBy("norm", "sender").agg(F.count_distinct("id").alias("in_messages")).where(F.col("norm") != "")
+    content = x.where("part = 'content'")
+    later = content.where("nth > 1").select("id", "line_no", "norm", "size", "sender")
+    recurs = later.groupBy("norm", "size", "sender").agg(F.count_distinct("id").alias("in_messages"))
     known = recurs.groupBy("norm").agg(F.count("*").alias("senders"))
     # a closing line is hardly ever followed by text that nobody repeats
-    told_once = (F.col("senders") < senders_recur) & (F.length("norm") >= first_author_chars)
-    last_told = F.max(F.when(told_once, F.col("line_no"))).over(Window.partitionBy("id"))
-    ends = later.join(known, "norm").withColumn("ends", F.col("line_no") > F.coalesce(last_told, F.lit(-1)))
-    ends = ends.groupBy("norm").agg(F.avg(F.col("ends").cast("int")).alias("at_end"), F.first("senders").alias("senders")).where("at_end >= 0.95")
-    often = recurs.join(ends, "norm").where((F.col("in_messages") >= sender_recurs) & (F.length("norm") < 80)).select("norm", "sender", F.lit(True).alias("of_sender"))
-    common = ends.where(F.col("senders") >= senders_recur).select("norm", F.lit(True).alias("of_many"))
-
-    # the first author of a line of a thread, by date
-    told = x.where((F.length("norm") >= first_author_chars) & ~F.col("head"))
-    first = told.where(F.col("at").isNotNull() & F.col("content")).groupBy("thread", "norm").agg(F.min(F.struct("at", "sender")).alias("first"))
-
-    y = (
-        x.join(often, ["norm", "sender"], "left").join(common, "norm", "left").join(first, ["thread", "norm"], "left")
-        .withColumns({"of_sender": F.coalesce("of_sender", F.lit(False)), "of_many": F.coalesce("of_many", F.lit(False)), "nth": nth})
-        .withColumn("copied", F.coalesce((F.col("first.at") < F.col("at")) & (F.col("first.sender") != F.col("sender")), F.lit(False)))
-    )
-    later_line = F.col("nth") > 1
-    closes = F.col("content") & (F.col("signs_off") | F.col("delimiter") | F.col("device") | F.col("disclaims") | (later_line & (F.col("of_sender") | F.col("of_many"))))
-    y = y.withColumn("closes", closes)
-    opened = F.coalesce(F.max(F.when(F.col("content") & (F.col("signs_off") | F.col("delimiter")), 1).otherwise(0)).over(before), F.lit(0)) == 1
+    often_said = known.where(F.col("senders") >= senders_recur)
+    told_once = later.where(F.col("size") >= first_author_chars).join(often_said, "norm", "left_anti").groupBy("id").agg(F.max("line_no").alias("last_told"))
+    many = known.where(F.col("senders") > 1).select("norm").unionByName(recurs.where(F.col("in_messages") >= sender_recurs).select("norm")).distinct()
+    at_end = F.avg((F.col("line_no") > F.coalesce("last_told", F.lit(-1))).cast("int"))
+    ends = later.join(many, "norm").join(told_once, "id", "left").groupBy("norm").agg(at_end.alias("at_end")).where("at_end >= 0.95").select("norm")
+    often = recurs.where((F.col("in_messages") >= sender_recurs) & (F.col("size") < 80)).join(ends, "norm", "left_semi").select("norm", "sender", F.lit(True).alias("of_sender"))
+    common = often_said.join(ends, "norm", "left_semi").select("norm", F.lit(True).alias("of_many"))
+
+    # the first author of a line of a thread, by date; only lines that two senders have matter
+    told = content.where((F.col("size") >= first_author_chars) & F.col("at").isNotNull()).groupBy("thread", "norm").agg(F.min(F.struct("at", "sender")).alias("first"), F.min("sender").alias("lo"), F.max("sender").alias("hi"))
+    first = told.where("lo <> hi").select("thread", "norm", "first")
+
+    y = x.join(often, ["norm", "sender"], "left").join(common, "norm", "left").join(first, ["thread", "norm"], "left")
+    copied = F.coalesce((F.col("first.at") < F.col("at")) & (F.col("first.sender") != F.col("sender")), F.lit(False)) & (F.col("size") >= first_author_chars)
+    recurrent = (F.col("nth") > 1) & (F.coalesce("of_sender", F.lit(False)) | F.coalesce("of_many", F.lit(False)))
     kind = (
-        F.when(F.col("head"), "header").when(F.col("in_original"), "original").when(F.col("quote"), "quote").when(F.col("intro"), "intro").when(F.col("in_unmarked"), "quote")
-        .when(F.col("closes"), F.when(F.col("disclaims"), "disclaimer").otherwise("closing")).when(opened, "closing").when(F.col("copied"), "not_first").otherwise("new")
+        F.when(F.col("part") != "content", F.col("part")).when(_bit("disclaims"), "disclaimer")
+        .when(_bit("signs_off") | _bit("delimiter") | _bit("device") | recurrent | F.col("opened"), "closing").when(copied, "not_first").otherwise("new")
     )
-    return y.select("id", "line_no", "line", kind.alias("kind"))
+    return y.select("id", "line_no", kind.alias("kind"))
 
 
 def new_text(messages: DataFrame) -> DataFrame:
     """(id, text): each e-mail reduced to its new lines, joined again in order; e-mails without any have the empty text."""
-    rows = classified(messages)
+    lines = message_lines(messages).select("id", "line_no", "line")
+    rows = classified(messages).join(lines, ["id", "line_no"])
     kept = F.filter(F.array_sort(F.collect_list(F.struct("line_no", F.when(F.col("kind") == "new", F.col("line")).alias("line")))), lambda r: r["line"].isNotNull())
     return rows.groupBy("id").agg(F.array_join(F.transform(kept, lambda r: r["line"]), "\n").alias("text"))
