@@ -145,7 +145,9 @@ def rolling_costs(logs: DataFrame, grace_days: int = 1) -> DataFrame:
     daily = durable(
         latest_records(logs).groupBy(*KEYS, "day", (F.datediff("load_day", "day") > grace_days).alias("late")).agg(F.sum("amount").alias("amount")), "p6-daily"
     )
-    state = apply_corrections(build_state(daily.where(~F.col("late")).drop("late")), daily.where("late").drop("late"))
+    # the first version is a table of its own: the corrections read it three times, each time other columns
+    first = durable(build_state(daily.where(~F.col("late")).drop("late")), "p6-state")
+    state = apply_corrections(first, daily.where("late").drop("late"))
     return state.withColumns({f"avg_{p}": F.col(f"total_{p}") / 1e6 / p for p in PERIODS})
 
 
