@@ -119,7 +119,8 @@ def test_piece_sizes_at_the_limits():
     assert check_pieces("x" * 2000) == [] and check_pieces(" " * 50 + "x" * 2000 + "\n" * 99) == []
     assert {p["cut"] for p in check_pieces("x" * 2000 + " " + "y" * 2000)} == {"word", "end"}
     assert "forced" in {p["cut"] for p in check_pieces("x" * 2001)}
-    assert len(check_pieces("z" * 1_000_000)) < 1500
+    # all landmarks tie; each piece but the last still has its least size of new text
+    assert len(check_pieces("z" * 1_000_000)) <= 1_000_000 // splitting.Limits().min_chars + 1
     assert {p["cut"] for p in check_pieces(("One sentence here. " * 60 + "\n\n") * 4)} <= {"paragraph", "end"}
 
 
