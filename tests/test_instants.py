@@ -56,7 +56,7 @@ def plain(text, tz, locale):
     return None
 
 
-@pytest.mark.parametrize("size", ["sf0.001", "sf0.01"])
+@pytest.mark.parametrize("size", ["sf0.001", "sf0.01", "sf0.1"])
 def test_whole_tables_against_plain_parser(spark, size):
     sf = f"/root/testdata/{size}"
     found = {(r.src, r.row_id, r.utc) for r in p4_found(spark, sf).collect()}
