@@ -100,3 +100,19 @@ def with_sources(pairs: DataFrame, links: DataFrame, item: str = "entity_id", ba
     return grouped.select(
         F.col("a").alias("entity_a_id"), F.col("b").alias("entity_b_id"), F.col("shared").alias("count"), F.to_json("ids").alias("source_ids_json"), "lift"
     )
+
+
+def all_with_sources(links: DataFrame, item: str = "entity_id", basket: str = "insight_id", prefix: str = "insight:") -> DataFrame:
+    """Every pair that shares a basket, in the form of ``with_sources``.
+
+    Each shared basket of each pair is a part of the result, so the lists are
+    collected from a join on the basket; probing from the rarer items, as for
+    few pairs, would meet many baskets that a pair does not share.
+    """
+    once = links.where(F.col(item).isNotNull() & F.col(basket).isNotNull()).select(F.col(item).alias("item"), F.col(basket).cast("string").alias("basket")).distinct()
+    left, right = once.select("basket", F.col("item").alias("a")), once.select("basket", F.col("item").alias("b"))
+    ids = F.to_json(F.sort_array(F.collect_list(F.concat(F.lit(prefix), "basket"))))
+    sources = left.join(right, "basket").where(F.col("a") < F.col("b")).groupBy("a", "b").agg(ids.alias("source_ids_json"))
+    return co_occurrence(links, item, basket).join(sources, ["a", "b"]).select(
+        F.col("a").alias("entity_a_id"), F.col("b").alias("entity_b_id"), F.col("shared").alias("count"), "source_ids_json", "lift"
+    )

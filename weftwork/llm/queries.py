@@ -64,6 +64,11 @@ def p7_co_occurrences(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.with_sources(pairs, links)
 
 
+def p7_all_co_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs, whatever their count and lift; p7_co_occurrences has those of p7_found only."""
+    return pairing.all_with_sources(table(spark, sf, "entity_insight_links"))
+
+
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and items with a template in common, slots checked; numbers of any length are one slot."""
     met = leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), merge=True)
@@ -99,7 +104,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_entities": p3_entities,
     "p5_found": p5_found, "p5_new_text": p5_new_text,
-    "p7_found": p7_found, "p7_co_occurrences": p7_co_occurrences,
+    "p7_found": p7_found, "p7_co_occurrences": p7_co_occurrences, "p7_all_co_occurrences": p7_all_co_occurrences,
     "p8_found": p8_found, "p8_leaks": p8_leaks,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_coverage": p10_coverage,
@@ -118,12 +123,23 @@ found AS (SELECT entity_a_id, entity_b_id, shared, CAST(source_ids_json AS VARCH
           WHERE shared * n >= 4 * da.degree * db.degree)
 """
 
+_P7_ALL = """
+WITH links AS (SELECT DISTINCT entity_id, insight_id FROM entity_insight_links WHERE entity_id IS NOT NULL AND insight_id IS NOT NULL),
+degrees AS (SELECT entity_id, count(*) AS degree FROM links GROUP BY 1),
+n AS (SELECT count(DISTINCT insight_id) AS n FROM links),
+pairs AS (SELECT a.entity_id AS entity_a_id, b.entity_id AS entity_b_id, count(*) AS shared,
+                 CAST(to_json(list('insight:' || a.insight_id ORDER BY 'insight:' || a.insight_id)) AS VARCHAR) AS source_ids_json
+          FROM links a JOIN links b ON a.insight_id = b.insight_id AND a.entity_id < b.entity_id GROUP BY 1, 2)
+SELECT entity_a_id, entity_b_id, shared AS count, source_ids_json, CAST(shared AS DOUBLE) * n / (da.degree * db.degree) AS lift
+FROM pairs JOIN degrees da ON da.entity_id = entity_a_id JOIN degrees db ON db.entity_id = entity_b_id, n"""
+
 ORACLES = {
     "p2_found": r"""
 SELECT id, CASE WHEN max(list_max(list_transform(regexp_split_to_array(content, '\s+'), lambda w: length(w)))) > 2000 THEN 'forced' ELSE 'natural' END AS cut
 FROM document_chunks WHERE length(regexp_replace(content, '^\s+|\s+$', '', 'g')) > 2000 GROUP BY id""",
     "p7_found": _P7 + "SELECT entity_a_id, entity_b_id FROM found",
     "p7_co_occurrences": _P7 + "SELECT entity_a_id, entity_b_id, shared AS count, source_ids_json, lift FROM found",
+    "p7_all_co_occurrences": _P7_ALL,
     "p8_found": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
