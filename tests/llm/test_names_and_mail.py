@@ -48,6 +48,15 @@ def test_names_edges(spark):
     assert [tuple(r) for r in naming.same_pairs(naming.link_variants(df)).collect()] == [(1, 2)]
 
 
+def test_short_names_and_names_that_share_a_block(spark):
+    firm = lambda k, raw: (k, "organisation", raw, raw.lower(), None, None)
+    rows = [person(k, "Anna Wolf") for k in range(5)] + [person(9, "Anna Wofl")] + [firm(20 + k, "Ikea") for k in range(6)] + [firm(29, "Ikae")]
+    assert groups(spark, rows) == [[0, 1, 2, 3, 4, 9], [20, 21, 22, 23, 24, 25, 29]]
+    # Arlos is two letters from Karlo, more frequent than Carlo, and in the block of "arlo"
+    rows = [person(k, "Anna Carlo") for k in range(8)] + [person(20 + k, "Anna Arlos") for k in range(30)] + [person(90, "Anna Karlo")]
+    assert [0, 1, 2, 3, 4, 5, 6, 7, 90] in groups(spark, rows)
+
+
 def test_a_frequent_name_is_one_group(spark):
     rows = [person(k, "Jonathan Smithers") for k in range(300)] + [person(1000 + k, f"Person{chr(97 + k % 26)} Family{chr(97 + k // 26)}x") for k in range(60)]
     assert max(map(len, groups(spark, rows))) == 300

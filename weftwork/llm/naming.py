@@ -9,8 +9,9 @@ substitution, transposition, lost accent, digit for letter), a nickname, an
 initial, an abbreviation, parts reordered, titles, legal forms and remarks.
 
 Candidates come from aggregations by blocking key (all one-letter deletions,
-nickname classes, initials), each of which keeps only its best spelling, so
-no block is ever multiplied out or collected.
+nickname classes, initials). Blocks of typos keep every spelling they hold: at
+most one an inserted letter, whatever the number of rows; the distance test and
+the choice come after. The other blocks keep their best spelling.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ and partners ptnrs partner the head office hq group holding holdings""".split()
 
 #: Posterior odds: how much likelier a spelling with one typo comes from a known name than from a new one of its own, a row of the known name.
 TYPO_ODDS = 1.8
+#: The odds of a typo are so many times less for each letter that a key has under five: short names are near to others by chance.
+SHORT_ODDS = 5
 FOLDED = "".join(c for c in map(chr, range(0xC0, 0x250)) if len(unicodedata.normalize("NFKD", c)[0]) == 1 and unicodedata.normalize("NFKD", c)[0] != c)
 
 
@@ -78,10 +81,10 @@ def words_of(text: Column, kind: Column) -> tuple[Column, Column]:
     return words, comma
 
 
-def deletions(word: Column) -> Column:
-    """The word and all that are left when one letter goes: two words one typo apart share one."""
+def deletions(word: Column, over: int = 3) -> Column:
+    """The word and, if it has more than ``over`` letters, all that are left when one letter goes: two words one typo apart share one."""
     cut = F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
-    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) > 3, cut).otherwise(F.array().cast("array<string>"))))
+    return F.array_distinct(F.concat(F.array(word), F.when(F.length(word) > over, cut).otherwise(F.array().cast("array<string>"))))
 
 
 def one_typo(a: Column, b: Column) -> Column:
@@ -167,9 +170,9 @@ def attribute(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
 
     # modifiers, over all keys: rare ones one typo from one at least four times as frequent
     mods = nodes.where(full("mod")).groupBy("kind", "mod").agg(F.sum("n").alias("n"))
-    by_cut = _best(mods.select("kind", "mod", "n", F.explode(deletions(F.col("mod"))).alias("cut")), ["kind", "cut"], ["mod"])
+    mod_cuts = mods.select("kind", "mod", "n", F.explode(deletions(F.col("mod"))).alias("cut"))
     mended = (
-        mods.select("kind", "mod", "n", F.explode(deletions(F.col("mod"))).alias("cut")).join(by_cut, ["kind", "cut"])
+        mod_cuts.join(mod_cuts.select("kind", "cut", F.col("n").alias("to_n"), F.col("mod").alias("to_mod")), ["kind", "cut"])
         .where((F.col("to_n") >= 4 * F.col("n")) & (F.length("mod") >= 3) & one_typo(F.col("mod"), F.col("to_mod")))
         .groupBy("kind", "mod").agg(F.max(F.struct("to_n", "to_mod")).alias("m")).select("kind", "mod", F.col("m.to_mod").alias("mended"))
     )
@@ -195,11 +198,12 @@ def attribute(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = to(nodes.join(same, ["kind", "key", "std"]).withColumn("to_key", F.col("key")))
     # 2. the same key, a modifier one typo away, though not among all keys
     cuts = nodes.where(full("mod")).select("kind", "key", "mod", "n", "n_all", F.explode(deletions(F.col("mod"))).alias("cut"))
-    block = _best(cuts, ["kind", "key", "cut"], ["n_all", "mod"])
+    rank = F.struct("n", "n_all", "mod")
+    others = cuts.select("kind", "key", "cut", rank.alias("to_rank"), F.col("mod").alias("to_mod"))
     typed = (
-        cuts.join(block, ["kind", "key", "cut"]).where((F.col("to_mod") != F.col("mod")) & (F.length("mod") >= 4) & one_typo(F.col("mod"), F.col("to_mod")))
+        cuts.join(others, ["kind", "key", "cut"]).where((F.col("to_rank") > rank) & (F.length("mod") >= 4) & one_typo(F.col("mod"), F.col("to_mod")))
         .where(F.col("n_all") <= F.col("n") + 2)  # a modifier known from other keys is a name of its own
-        .withColumn("to_key", F.col("key"))
+        .groupBy("kind", "key", "mod").agg(F.max("to_rank").alias("t")).withColumns({"to_key": F.col("key"), "to_mod": F.col("t.mod")})
     )
     edges = edges.unionByName(to(typed))
     # 3. the same key, a nickname and its full name, or two of one full name
@@ -220,16 +224,18 @@ def attribute(registry: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges = edges.unionByName(bare.select("kind", "key", "mod", F.col("key").alias("to_key"), F.col("t.m").alias("to_mod")))
     # 5. a key one typo away with the same standard modifier, full name or initial
     cols = ["kind", "key", "mod", "n_std", "n_key"]
-    forms = nodes.where(F.length("mod") > 0).select(*cols, F.col("std").alias("form"), F.lit(0).alias("loose"))
+    forms = nodes.where((F.length("mod") > 0) | (F.col("kind") == "organisation")).select(*cols, F.col("std").alias("form"), F.lit(0).alias("loose"))
     shorts = forms.where("kind = 'person'").join(nick.withColumnRenamed("mod", "form"), "form").select(*cols, F.col("full").alias("form"), F.lit(1).alias("loose"))
     initials = nodes.where((F.col("kind") == "person") & (F.length("mod") > 0)).select(*cols, F.concat(F.lit("="), F.substring("std", 1, 1)).alias("form"), F.lit(2).alias("loose"))
-    forms = durable(forms.unionByName(shorts).unionByName(initials).withColumn("cut", F.explode(deletions(F.col("key")))), "p3-forms")
-    block = forms.groupBy("kind", "cut", "form").agg(F.max(F.struct("n_std", "n_key", "key", "mod")).alias("t"))
-    candidates = forms.join(block, ["kind", "cut", "form"]).where((F.col("t.key") != F.col("key")) & (F.length("key") >= 5) & one_typo(F.col("key"), F.col("t.key")))
+    forms = durable(forms.unionByName(shorts).unionByName(initials).withColumn("cut", F.explode(deletions(F.col("key"), 1))), "p3-forms")
+    # of each key the best modifier, and the best that is an initial: the tests below ask nothing else of it
+    block = forms.groupBy("kind", "cut", "form", F.col("key").alias("_k"), (F.length("mod") == 1).alias("_i")).agg(F.max(F.struct("n_std", "n_key", "key", "mod")).alias("t"))
+    candidates = forms.join(block, ["kind", "cut", "form"]).where((F.col("t.key") != F.col("key")) & one_typo(F.col("key"), F.col("t.key")))
     # a family of its own has other members; a spelling that several rows share is hardly one typo
     novel = F.col("n_std") * F.col("n_std") * (1 + F.col("n_key") - F.col("n_std"))
     initial_only = (F.col("loose") < 2) | (F.length("mod") == 1) | (F.length("t.mod") == 1)
-    candidates = candidates.where((F.col("t.n_std") * TYPO_ODDS >= novel) & initial_only)
+    odds = TYPO_ODDS * F.pow(F.lit(float(SHORT_ODDS)), F.least(F.length("key") - 5, F.lit(0)))
+    candidates = candidates.where((F.col("t.n_std") * odds >= novel) & initial_only)
     chosen = candidates.groupBy("kind", "key", "mod").agg(F.max(F.struct(-F.col("loose"), "t")).alias("c"))
     edges = edges.unionByName(chosen.select("kind", "key", "mod", F.col("c.t.key").alias("to_key"), F.col("c.t.mod").alias("to_mod")))
     edges = edges.unionByName(links).unionByName(merged)
