@@ -166,3 +166,12 @@ def test_prompts(spark):
     assert prompts.ask(made, "p", prompts.Echo()).where("reply like '%summary%'").count() == 3
     judged = prompts.refine(df.where("id < 3"), lambda d: d.withColumn("accepted", F.col("id") + F.col("round") >= 2), lambda d: d, 2)
     assert {(r.id, r.round) for r in judged.collect()} == {(1, 1), (2, 0)}
+
+
+def test_path_uses_weak_edges(spark, tmp_path):
+    from weftwork.plans import analytics
+
+    # the goal hangs on a weak edge, and the strong way to it is longer
+    rows = [(1, 1, 2, 9), (2, 2, 3, 9), (3, 3, 9, 9), (4, 1, 5, 1), (5, 5, 9, 1)]
+    spark.createDataFrame(rows, "id long, entity_a_id long, entity_b_id long, count long").write.parquet(str(tmp_path / "entity_co_occurrences.parquet"))
+    assert [tuple(r) for r in analytics.path_bfs(spark, str(tmp_path)).collect()] == [(2, "1>5>9")]
