@@ -175,3 +175,10 @@ def test_path_uses_weak_edges(spark, tmp_path):
     rows = [(1, 1, 2, 9), (2, 2, 3, 9), (3, 3, 9, 9), (4, 1, 5, 1), (5, 5, 9, 1)]
     spark.createDataFrame(rows, "id long, entity_a_id long, entity_b_id long, count long").write.parquet(str(tmp_path / "entity_co_occurrences.parquet"))
     assert [tuple(r) for r in analytics.path_bfs(spark, str(tmp_path)).collect()] == [(2, "1>5>9")]
+
+
+def test_links_reach_patterns_of_odd_id(spark, sf):
+    from weftwork.plans import registry
+
+    linked = registry.queries()["link_unclustered_all"](spark, sf)
+    assert linked.where("pattern_id % 2 = 1").limit(1).count()

@@ -311,6 +311,15 @@ def link_unclustered(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.link_loose(V.insights(spark, sf), patterns)
 
 
+@query(rf"""WITH {V.INSIGHTS}, t AS (SELECT id, unnest(list_distinct(list_transform(themes, lambda x: lower(trim(x))))) AS w FROM insights), p AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text || ' en de size1 email'), '[^\s\p{{Z}}]+'))) AS w FROM eval_items),
+c AS (SELECT id, item_id, count(*) AS shared FROM t JOIN p USING (w) GROUP BY 1, 2)
+SELECT id, item_id AS pattern_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, item_id) AS r FROM c) WHERE r = 1""")
+def link_unclustered_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Each insight and its nearest of all patterns; link_unclustered has those of even id only."""
+    patterns = table(spark, sf, "eval_items").select(F.col("item_id").alias("id"), F.concat("text", F.lit(" en de size1 email")).alias("summary"))
+    return clustering.link_loose(V.insights(spark, sf), patterns)
+
+
 @query("""WITH l AS (SELECT DISTINCT entity_id, insight_id FROM entity_insight_links WHERE entity_id IS NOT NULL AND insight_id IS NOT NULL)
 SELECT a.entity_id AS entity_a_id, b.entity_id AS entity_b_id, count(*) AS count FROM l a JOIN l b ON a.insight_id = b.insight_id AND a.entity_id < b.entity_id GROUP BY 1, 2""")
 def cooccur(spark: SparkSession, sf: str) -> DataFrame:
