@@ -122,3 +122,18 @@ def test_very_long_text_and_names(spark):
 def test_day_arithmetic(spark):
     days = spark.range(-800_000, 800_000, 997).select("id", F.date_from_unix_date(F.col("id").cast("int")).alias("d"))
     assert days.where(F.col("id") != days_from_civil(F.year("d").cast("long"), F.month("d").cast("long"), F.dayofmonth("d").cast("long"))).count() == 0
+
+
+WRITTEN = {
+    "2024-03-05 10:22 PM": "2024-03-06 06:22:00", "2024-03-05 12:00 AM": "2024-03-05 08:00:00", "2024-03-05 20:22 PM": None, "2022/01/16 8:35 PM": "2022-01-17 04:35:00",
+    "Tue Mar  5 10:22:01 2024": "2024-03-05 18:22:01", "Tue Mar  5 10:22:01 PST 2024": "2024-03-05 18:22:01", "Tue Mar  5 10:22:01 +0100 2024": "2024-03-05 09:22:01",
+    "Tue Mar 05 2024 10:22:01 GMT+0100 (CET)": "2024-03-05 09:22:01", "Tue Mar 05 2024 10:22:01 GMT+0100 (Central European Standard Time)": "2024-03-05 09:22:01",
+    "5 Mar 24 10:22:01 +0100": "2024-03-05 09:22:01", "5-Mar-2024 10:22": "2024-03-05 18:22:00", "5 de marzo de 2024 10:22": "2024-03-05 18:22:00", "03-05-2024 10:22": "2024-05-03 17:22:00",
+    "10.3.24, 2:57 pm": "2024-03-10 21:57:00", "9/3/24, 3:22 PM": "2024-03-09 23:22:00", "1754997796725123": "2025-08-12 11:23:16", "1754997796725123456": "2025-08-12 11:23:16", "2024-03-05": None,
+}
+
+
+def test_written_forms(spark):
+    df = spark.createDataFrame([(w, "America/Los_Angeles", None) for w in WRITTEN], "date string, tz string, locale string")
+    got = {r["date"]: None if r["instant"] is None else str(r["instant"]) for r in normalise_instants(df).collect()}
+    assert got == WRITTEN

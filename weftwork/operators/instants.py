@@ -35,29 +35,38 @@ MONTHS = {
 #: Components, in the order in which the single pass writes them.
 PARTS = ["y", "mo", "mon", "d", "h", "mi", "s", "ap", "off", "abbr", "zone", "sl", "num"]
 
-_TIME = r"(?<h{k}>\d{{1,2}}):(?<mi{k}>\d{{2}})(?::(?<s{k}>\d{{2}})(?:[.,]\d+)?)?"
-_OFF = r"(?<off{k}>[Zz]|[+-]\d{{2}}(?::?\d{{2}})?)"
-_AP = r"(?<ap{k}>[AaPp])\.?[Mm]\.?"
-_DAYNAME = r"(?:\p{{L}}{{2,10}}\.?,?\s+)?"
+# Blanks of any kind, the narrow ones that phones write before AM and PM too.
+_S = r"[\s\p{{Z}}]"
+_TIME = rf"(?<h{{k}}>\d{{{{1,2}}}}):(?<mi{{k}}>\d{{{{2}}}})(?::(?<s{{k}}>\d{{{{2}}}})(?:[.,]\d+)?)?(?:{_S}*(?<ap{{k}}>[AaPp])\.?[Mm]\b\.?)?(?:{_S}*Uhr)?"
+_OFF = r"(?:GMT|UTC)?(?<off{k}>[Zz]|[+-]\d{{2}}(?::?\d{{2}})?)"
+# AM and PM are no zones; what else stands in brackets is a zone's full name and says nothing that the offset does not
+_ABBR = rf"(?:{_S}*\(?(?<abbr{{k}}>(?!(?:AM|PM)\b)[A-Z]{{{{2,5}}}})\)?)?(?:{_S}*\([^()]*\))?"
+_ZONE = rf"(?:{_S}*{_OFF})?{_ABBR}"
+_DAYNAME = rf"(?:\p{{{{L}}}}{{{{2,10}}}}\.?,?{_S}+)?"
+_MONTH = r"(?<mon{k}>\p{{L}}{{3,10}})\.?"
+_YEAR = r"(?<y{k}>\d{{4}}|\d{{2}})"
+_DAY = r"(?<d{k}>\d{{1,2}})(?:\.|st|nd|rd|th)?"
 
 #: One entry a family of formats; {k} numbers the groups, as names must be unique.
 FORMATS = [
-    # 2024-02-11T07:11:47Z, 2022-01-11 08:44:11.219389+00, 2023-06-01T01:58, 2024-10-23 05:53:18
-    r"(?<y{k}>\d{{4}})-(?<mo{k}>\d{{1,2}})-(?<d{k}>\d{{1,2}})(?:[Tt]|\s+)" + _TIME + r"\s*" + _OFF + r"?(?:\s*\(?(?<abbr{k}>[A-Z]{{2,5}})\)?)?",
+    # 2024-02-11T07:11:47Z, 2022-01-11 08:44:11.219389+00, 2023-06-01T01:58, 2024-10-23 05:53:18, 2024-03-05 10:22 PM
+    rf"(?<y{{k}}>\d{{{{4}}}})-(?<mo{{k}}>\d{{{{1,2}}}})-(?<d{{k}}>\d{{{{1,2}}}})(?:[Tt]|,?{_S}+){_TIME}{_ZONE}",
     # 20240207T214027Z, TZID=Asia/Kolkata:20220908T224932
-    r"(?:;?TZID=(?<zone{k}>[A-Za-z0-9_+\-/]+):)?(?<y{k}>\d{{4}})(?<mo{k}>\d{{2}})(?<d{k}>\d{{2}})[Tt](?<h{k}>\d{{2}})(?<mi{k}>\d{{2}})(?<s{k}>\d{{2}})?" + _OFF + r"?",
-    # 2022/01/16 20.35.54
-    r"(?<y{k}>\d{{4}})/(?<mo{k}>\d{{1,2}})/(?<d{k}>\d{{1,2}}),?\s+(?<h{k}>\d{{1,2}})[.:](?<mi{k}>\d{{2}})(?:[.:](?<s{k}>\d{{2}}))?",
-    # Sun, 07 Apr 2024 02:08:22 +1000; 29 May 2022 02:42:01 PM ACST; 11 Apr 2023 09:57 +0000 (UTC); 20. Januar 2023, 09:56 Uhr
-    _DAYNAME + r"(?<d{k}>\d{{1,2}})(?:\.|st|nd|rd|th)?\s+(?<mon{k}>\p{{L}}{{3,10}})\.?,?\s+(?<y{k}>\d{{4}}),?\s+(?:(?:at|um|à|a las)\s+)?" + _TIME + r"(?:\s*" + _AP + r")?(?:\s*Uhr)?\s*" + _OFF + r"?(?:\s*\(?(?<abbr{k}>[A-Z]{{2,5}})\)?)?",
-    # January 13, 2024 at 7:16 am
-    _DAYNAME + r"(?<mon{k}>\p{{L}}{{3,10}})\.?\s+(?<d{k}>\d{{1,2}})(?:st|nd|rd|th)?,?\s+(?<y{k}>\d{{4}}),?\s+(?:at\s+)?" + _TIME + r"(?:\s*" + _AP + r")?\s*" + _OFF + r"?(?:\s*\(?(?<abbr{k}>[A-Z]{{2,5}})\)?)?",
-    # 10.03.2024 02:57 Uhr
-    r"(?<d{k}>\d{{1,2}})\.(?<mo{k}>\d{{1,2}})\.(?<y{k}>\d{{4}}|\d{{2}}),?\s+(?:um\s+)?" + _TIME + r"(?:\s*Uhr)?\s*" + _OFF + r"?(?:\s*\(?(?<abbr{k}>[A-Z]{{2,5}})\)?)?",
-    # 05/04/2022, 22:51 and 9/15/23, 9:38 AM: which of the two is the month, the locale says
-    r"(?<sl{k}>)(?<mo{k}>\d{{1,2}})/(?<d{k}>\d{{1,2}})/(?<y{k}>\d{{4}}|\d{{2}}),?\s+(?:at\s+)?" + _TIME + r"(?:\s*" + _AP + r")?\s*" + _OFF + r"?(?:\s*\(?(?<abbr{k}>[A-Z]{{2,5}})\)?)?",
-    # 1672253502, 1754997796725
-    r"(?<num{k}>-?\d{{9,14}})(?:\.\d+)?",
+    rf"(?:;?TZID=(?<zone{{k}}>[A-Za-z0-9_+\-/]+):)?(?<y{{k}}>\d{{{{4}}}})(?<mo{{k}}>\d{{{{2}}}})(?<d{{k}}>\d{{{{2}}}})[Tt](?<h{{k}}>\d{{{{2}}}})(?<mi{{k}}>\d{{{{2}}}})(?<s{{k}}>\d{{{{2}}}})?(?:{_OFF})?",
+    # 2022/01/16 20.35.54, 2022/01/16 8:35 PM
+    rf"(?<y{{k}}>\d{{{{4}}}})/(?<mo{{k}}>\d{{{{1,2}}}})/(?<d{{k}}>\d{{{{1,2}}}}),?{_S}+(?<h{{k}}>\d{{{{1,2}}}})[.:](?<mi{{k}}>\d{{{{2}}}})(?:[.:](?<s{{k}}>\d{{{{2}}}})(?:,\d+)?)?(?:{_S}*(?<ap{{k}}>[AaPp])\.?[Mm]\b\.?)?{_ZONE}",
+    # Sun, 07 Apr 2024 02:08:22 +1000; 5 Mar 24 10:22:01 +0100; 29 May 2022 02:42:01 PM ACST; 11 Apr 2023 09:57 +0000 (UTC); 20. Januar 2023, 09:56 Uhr; 5-Mar-2024 10:22
+    rf"{_DAYNAME}{_DAY}(?:{_S}+|-)(?:de{_S}+)?{_MONTH},?(?:{_S}+|-)(?:de{_S}+)?{_YEAR},?{_S}+(?:(?:at|um|à|a las){_S}+)?{_TIME}{_ZONE}",
+    # January 13, 2024 at 7:16 am; Tue Mar 05 2024 10:22:01 GMT+0100 (CET)
+    rf"{_DAYNAME}{_MONTH}{_S}+(?<d{{k}}>\d{{{{1,2}}}})(?:st|nd|rd|th)?,?{_S}+(?<y{{k}}>\d{{{{4}}}}),?{_S}+(?:at{_S}+)?{_TIME}{_ZONE}",
+    # Tue Mar  5 10:22:01 2024, with the zone before the year or after it
+    rf"{_DAYNAME}{_MONTH}{_S}+(?<d{{k}}>\d{{{{1,2}}}}){_S}+(?<h{{k}}>\d{{{{1,2}}}}):(?<mi{{k}}>\d{{{{2}}}})(?::(?<s{{k}}>\d{{{{2}}}}))?(?:{_S}+(?<abbrb{{k}}>(?!(?:AM|PM)\b)[A-Z]{{{{2,5}}}}))?(?:{_S}+(?<offb{{k}}>[+-]\d{{{{4}}}}))?{_S}+(?<y{{k}}>\d{{{{4}}}}){_ZONE}",
+    # 10.03.2024 02:57 Uhr, 10.3.24, 2:57 PM
+    rf"(?<d{{k}}>\d{{{{1,2}}}})\.(?<mo{{k}}>\d{{{{1,2}}}})\.{_YEAR},?{_S}+(?:um{_S}+)?{_TIME}{_ZONE}",
+    # 05/04/2022, 22:51; 9/15/23, 9:38 AM; 03-05-2024 10:22: which of the two is the month, the locale says
+    rf"(?<mo{{k}}>\d{{{{1,2}}}})(?<sl{{k}}>[/-])(?<d{{k}}>\d{{{{1,2}}}})\k<sl{{k}}>{_YEAR},?{_S}+(?:at{_S}+)?{_TIME}{_ZONE}",
+    # 1672253502, 1754997796725, 1754997796725123
+    r"(?<num{k}>-?\d{{9,19}})(?:\.\d+)?",
 ]
 
 
@@ -68,13 +77,12 @@ def compiled() -> tuple[str, str]:
     ``regexp_replace`` leaves alone) is told from one that was taken.
     """
     bodies = [f.format(k=k) for k, f in enumerate(FORMATS)]
-    pattern = r"^\s*(?:" + "|".join(bodies) + r")\s*$"
+    pattern = r"^[\s\p{Z}]*(?:" + "|".join(bodies) + r")[\s\p{Z}]*$"
     cells = []
     for part in PARTS:
-        named = "".join("${%s%d}" % (part, k) for k, body in enumerate(bodies) if f"(?<{part}{k}>" in body)
-        # the empty group of the slash family can't be read as text; its first number marks it
-        cells.append(named)
-    cells[PARTS.index("sl")] = "${y6}"
+        # a component that two places of one family may hold has a second group, marked b
+        named = [f"{name}{k}" for k, body in enumerate(bodies) for name in (part, part + "b") if f"(?<{name}{k}>" in body]
+        cells.append("".join("${%s}" % n for n in named))
     return pattern, "\u0002" + "\u0001".join(cells)
 
 
@@ -126,9 +134,11 @@ def normalise_instants(df: DataFrame, text: str = "date", tz: str = "tz", locale
       does not have as not written.
     * A wall time that occurs twice is the first one; one that is skipped is
       read with the offset before the change.
-    * Numbers alone: up to 11 digits are seconds, 12 to 14 milliseconds since 1970.
-    * Slashes with the year last: month first for locale ``en_US``, else day
-      first. Two-digit years are 20xx. Fractions of a second are cut off.
+    * Numbers alone: up to 11 digits are seconds since 1970, 12 to 14
+      milliseconds, 15 to 17 microseconds, 18 and 19 nanoseconds.
+    * Slashes or dashes with the year last: month first for locale ``en_US``,
+      else day first. Two-digit years are 20xx. Fractions of a second are cut off.
+    * AM and PM count in every format with a colon in its time; 13:00 PM is no time.
 
     Every other column stays as it is, whatever its name; ``out`` replaces a
     column of that name. Rows are neither dropped nor merged.
@@ -142,7 +152,7 @@ def normalise_instants(df: DataFrame, text: str = "date", tz: str = "tz", locale
         F.nullif(F.trim(F.col(f"`{tz}`")), F.lit("")).alias("_meta_tz"),
         F.col(f"`{locale}`").alias("_loc"),
     )
-    cells = F.split(F.when(F.col("_x").startswith("\u0002"), F.substring("_x", 2, 1000)), "\u0001", -1)
+    cells = F.split(F.when(F.col("_x").startswith("\u0002"), F.expr("substr(_x, 2)")), "\u0001", -1)
     row = row.select("_row", "_meta_tz", "_loc", cells.alias("_c"))
     cell = lambda part: F.nullif(F.col("_c")[PARTS.index(part)], F.lit(""))
     row = row.select(
@@ -179,13 +189,14 @@ def normalise_instants(df: DataFrame, text: str = "date", tz: str = "tz", locale
         (F.substring(digits, 1, 2).try_cast("int") * 3600 + F.coalesce(F.substring(digits, 3, 2).try_cast("int"), F.lit(0)) * 60)
         * F.when(F.col("_off").startswith("-"), -1).otherwise(1)
     )
-    number = F.col("_num").try_cast("long")
+    number, written = F.col("_num").try_cast("long"), F.length(F.regexp_replace("_num", "-", ""))
+    whole = lambda unit: F.round((number - F.pmod(number, F.lit(unit))) / unit).cast("long")
     row = row.select(
         "_row", "_zone",
         F.when(F.col("_off").isNull(), F.col("_abbr")).alias("_abbr"),
         F.when(valid, wall).alias("_wall"),
         F.when(F.col("_off").isNotNull(), offset).alias("_offset"),
-        F.when(F.length(F.regexp_replace("_num", "-", "")) <= 11, number).otherwise(F.floor(number / 1000)).alias("_epoch"),
+        F.when(written <= 11, number).when(written <= 14, whole(10**3)).when(written <= 17, whole(10**6)).otherwise(whole(10**9)).alias("_epoch"),
     )
     zones = _zones(spark)
     known = zones.select(F.col("_z").alias("_kz")).distinct()
