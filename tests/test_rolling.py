@@ -52,27 +52,54 @@ def test_against_plain_loop(spark):
         assert collected(rolling.rolling_costs(logs(spark, rows))) == plain(rows)
 
 
+DAILY = "case_id string, feature string, day date, late boolean, amount long, n long"
+START, END = dt.date(2025, 1, 1), dt.date(2025, 3, 31)
+
+
+def run(spark, rows, span=7, until=END):
+    """The first version of the state of daily amounts, ``span`` days a step."""
+    daily = spark.createDataFrame([(c, f, d, False, a, 1) for c, f, d, a in rows], DAILY)
+    state, at = rolling.empty_state(spark), START
+    while at <= until:
+        z = min(at + dt.timedelta(days=span - 1), until)
+        state = rolling.durable(state.unionByName(rolling.advance(state, daily, at, z, 1)), "t")
+        at = z + dt.timedelta(days=1)
+    return state
+
+
 def test_corrections_touch_their_dates_only(spark):
-    daily = spark.createDataFrame([("a", "x", dt.date(2025, 1, 1), 5), ("a", "x", dt.date(2025, 3, 20), 7)], "case_id string, feature string, day date, amount long")
-    late = spark.createDataFrame([("a", "x", dt.date(2025, 1, 10), 3), ("a", "x", dt.date(2024, 12, 30), 2), ("b", "x", dt.date(2025, 1, 1), 1), ("a", "x", dt.date(2025, 3, 25), 4)], daily.schema)
-    base = rolling.build_state(daily)
-    state = rolling.apply_corrections(base, late)
-    rebuilt = rolling.build_state(daily.unionByName(late))
-    assert collected(state) == collected(rebuilt)
-    assert {(r.case_id, r.day): r.day_no for r in state.collect()} == {(r.case_id, r.day): r.day_no for r in rebuilt.collect()}
+    told = [("a", "x", START, 5), ("a", "x", dt.date(2025, 3, 20), 7)]
+    late = [("a", "x", dt.date(2025, 1, 10), 3), ("b", "x", dt.date(2025, 1, 4), 1), ("a", "x", dt.date(2025, 3, 25), 4)]
+    base = run(spark, told, 45)
+    changes = rolling.changes_by_day(spark.createDataFrame([(c, f, d, True, a, 1) for c, f, d, a in late], DAILY), END)
+    state = rolling.correct(base, changes)
+    rebuilt = collected(run(spark, told + late, 45))
+    got = collected(state)
+    assert {k: v for k, v in got.items() if any(v)} == {k: v for k, v in rebuilt.items() if any(v)}
     versions = {r.day: r.version for r in state.where("case_id = 'a'").collect()}
-    assert versions[dt.date(2025, 1, 9)] == 2 and versions[dt.date(2025, 2, 20)] == 1 and versions[dt.date(2025, 1, 20)] == 2
-    assert collected(rolling.apply_corrections(base, late.limit(0))) == collected(base)
+    assert versions[dt.date(2025, 1, 9)] == 1 and versions[dt.date(2025, 1, 10)] == 2 and versions[dt.date(2025, 2, 8)] == 2 and versions[dt.date(2025, 3, 24)] == 1 and versions[dt.date(2025, 3, 25)] == 2
+    assert collected(rolling.correct(base, changes.limit(0))) == collected(base)
+
+
+def test_steps_of_any_length_give_the_same_state(spark):
+    rows = [("a", "x", START + dt.timedelta(days=k), k + 1) for k in range(0, 12, 3)] + [("a", "x", dt.date(2025, 2, 20), 9), ("b", "x", dt.date(2025, 1, 9), 4)]
+    until = dt.date(2025, 2, 25)
+    whole = collected(run(spark, rows, 90, until))
+    for span in (10, 23):
+        stepped = collected(run(spark, rows, span, until))
+        assert {k: v for k, v in stepped.items() if any(v)} == {k: v for k, v in whole.items() if any(v)}
+    daily = spark.createDataFrame([(c, f, d, False, a, 1) for c, f, d, a in rows], DAILY)
+    state = run(spark, rows, 20, dt.date(2025, 2, 9))
+    next_day = collected(rolling.advance(state, daily, dt.date(2025, 2, 10), dt.date(2025, 2, 10), 1))
+    assert next_day == {k: v for k, v in whole.items() if k[2] == dt.date(2025, 2, 10) and any(v)}
 
 
-def test_advance_is_the_next_day_of_a_rebuild(spark):
-    rows = [("a", "x", dt.date(2025, 1, 1) + dt.timedelta(days=k), k + 1) for k in range(0, 40, 3)]
-    rows.append(("b", "x", dt.date(2025, 2, 9), 4))
-    daily = spark.createDataFrame(rows, "case_id string, feature string, day date, amount long")
-    state = rolling.build_state(daily.where("day < '2025-02-07'"))
-    for version, day in enumerate(("2025-02-07", "2025-02-08", "2025-02-09"), 2):
-        state = rolling.advance(state, daily, day, version)
-    assert collected(state) == collected(rolling.build_state(daily))
+def test_a_record_corrected_under_one_id(spark):
+    rows = [(1, "a", "x", 1.0, day(0), day(0)), (1, "a", "x", 3.0, day(0), day(9)), (2, "a", "x", 1.0, day(2), day(2)), (2, "a", "y", 1.0, day(2), day(30)), (3, "a", "x", 1.0, day(5), day(5)), (3, "a", "x", 1.0, day(5), day(40))]
+    got = {(r.feature, r.day): (r.total_7, r.version) for r in rolling.rolling_costs(logs(spark, rows)).collect()}
+    first = dt.date(2025, 1, 1)
+    assert got["x", first] == (3_000_000, 2) and got["x", first + dt.timedelta(days=2)] == (3_000_000, 2) and got["x", first + dt.timedelta(days=5)] == (4_000_000, 2)
+    assert got["y", first + dt.timedelta(days=2)] == (1_000_000, 2) and max(d for f, d in got if f == "x") == first + dt.timedelta(days=5)
 
 
 def test_edges(spark):
@@ -85,5 +112,6 @@ def test_edges(spark):
 
 
 def test_spikes_are_exact(spark):
-    state = spark.createDataFrame([("a", "x", 30, 7, 15), ("a", "x", 30, 8, 15), ("a", "x", 29, 100, 100)], "case_id string, feature string, day_no int, total_7 long, total_30 long")
-    assert [r.total_7 for r in rolling.spikes(state).collect()] == [8]
+    state = spark.createDataFrame([("a", "x", dt.date(2025, 1, 30), 7, 15), ("a", "x", dt.date(2025, 1, 31), 8, 15), ("a", "x", dt.date(2025, 1, 29), 100, 100), ("a", "x", dt.date(2025, 2, 9), 9, 9)], "case_id string, feature string, day date, total_7 long, total_30 long")
+    spans = spark.createDataFrame([("a", "x", START, dt.date(2025, 2, 1))], "case_id string, feature string, first_day date, last_day date")
+    assert [r.day for r in rolling.spikes(state, spans).collect()] == [dt.date(2025, 1, 31)]

@@ -29,29 +29,35 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p6_rolling(spark: SparkSession, sf: str) -> DataFrame:
-    state = rolling.rolling_costs(table(spark, sf, "cost_logs"))
-    return state.select("case_id", "feature", F.col("day").cast("string").alias("day"), "day_no", "amount", "total_7", "total_30")
+    """Totals and daily averages of each day of each case and feature, and the version of the state that says so."""
+    return rolling.rolling_costs(table(spark, sf, "cost_logs")).withColumn("day", F.col("day").cast("string"))
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
-    state = rolling.rolling_costs(table(spark, sf, "cost_logs"))
-    return rolling.spikes(state).select("case_id", "feature", F.date_format("day", "yyyy-MM-dd").alias("day")).distinct()
+    found = rolling.spikes(*rolling.rolling_state(table(spark, sf, "cost_logs")))
+    return found.select("case_id", "feature", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
 QUERIES = {"p4_found": p4_found, "p4_instants": p4_instants, "p6_found": p6_found, "p6_rolling": p6_rolling}
 
+# Of rows under one id the one loaded last holds; days within 30 of a record that came late, or was changed late, have version 2.
 _P6 = """
-WITH one AS (
-  SELECT DISTINCT id, case_id, lower(trim(coalesce(feature, ''))) AS feature, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day,
+WITH said AS (
+  SELECT id, case_id, lower(trim(coalesce(feature, ''))) AS feature, CAST(created_at AT TIME ZONE 'UTC' AS DATE) AS day, CAST(coalesce(loaded_at, created_at) AT TIME ZONE 'UTC' AS DATE) AS load_day,
          coalesce(CAST(round(total_cost * 1000000) AS BIGINT), 0) AS amount
-  FROM cost_logs WHERE case_id IS NOT NULL),
-daily AS (SELECT case_id, feature, day, CAST(sum(amount) AS BIGINT) AS amount FROM one GROUP BY ALL),
+  FROM cost_logs WHERE case_id IS NOT NULL AND created_at IS NOT NULL),
+one AS (SELECT id, max((load_day, amount, case_id, feature, day)) AS l, max((load_day, amount, case_id, feature, day)) FILTER (load_day - day <= 1) AS f FROM said GROUP BY id),
+final AS (SELECT l[3] AS case_id, l[4] AS feature, l[5] AS day, l[2] AS amount FROM one),
+late AS (SELECT case_id, feature, day FROM (
+  SELECT l[3] AS case_id, l[4] AS feature, l[5] AS day, f, l FROM one UNION ALL SELECT f[3], f[4], f[5], f, l FROM one WHERE f IS NOT NULL) WHERE f IS NULL OR (f[2], f[3], f[4], f[5]) <> (l[2], l[3], l[4], l[5])),
+daily AS (SELECT case_id, feature, day, CAST(sum(amount) AS BIGINT) AS amount FROM final GROUP BY ALL),
 spans AS (SELECT case_id, feature, min(day) AS first_day, max(day) AS last_day FROM daily GROUP BY ALL),
 spine AS (SELECT case_id, feature, first_day, CAST(unnest(generate_series(first_day, last_day, INTERVAL 1 DAY)) AS DATE) AS day FROM spans),
-dense AS (SELECT s.case_id, s.feature, s.day, CAST(s.day - s.first_day + 1 AS INTEGER) AS day_no, coalesce(d.amount, 0) AS amount
-          FROM spine s LEFT JOIN daily d USING (case_id, feature, day)),
+marked AS (SELECT DISTINCT case_id, feature, CAST(unnest(generate_series(day, day + INTERVAL 29 DAY, INTERVAL 1 DAY)) AS DATE) AS day, 2 AS version FROM late),
+dense AS (SELECT s.case_id, s.feature, s.day, CAST(s.day - s.first_day + 1 AS INTEGER) AS day_no, coalesce(d.amount, 0) AS amount, coalesce(m.version, 1) AS version
+          FROM spine s LEFT JOIN daily d USING (case_id, feature, day) LEFT JOIN marked m USING (case_id, feature, day)),
 state AS (
-  SELECT case_id, feature, day, day_no, amount,
+  SELECT case_id, feature, day, day_no, amount, version,
          CAST(sum(amount) OVER (PARTITION BY case_id, feature ORDER BY day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS BIGINT) AS total_7,
          CAST(sum(amount) OVER (PARTITION BY case_id, feature ORDER BY day ROWS BETWEEN 29 PRECEDING AND CURRENT ROW) AS BIGINT) AS total_30
   FROM dense)
@@ -106,5 +112,5 @@ ORACLES = {
     "p4_found": _P4 + "SELECT DISTINCT src, row_id, strftime(to_timestamp(e) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS utc FROM found",
     "p4_instants": _P4 + "SELECT r.src, r.row_id, r.written, r.tz, r.locale, strftime(to_timestamp(e) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S') AS instant FROM r LEFT JOIN found f ON f.src = r.src AND f.row_id = r.row_id AND f.written IS NOT DISTINCT FROM r.written AND f.tz IS NOT DISTINCT FROM r.tz AND f.locale IS NOT DISTINCT FROM r.locale",
     "p6_found": _P6 + "SELECT case_id, feature, strftime(day, '%Y-%m-%d') AS day FROM state WHERE day_no >= 30 AND 15 * total_7 > 7 * total_30",
-    "p6_rolling": _P6 + "SELECT case_id, feature, CAST(day AS VARCHAR) AS day, day_no, amount, total_7, total_30 FROM state",
+    "p6_rolling": _P6 + "SELECT case_id, feature, CAST(day AS VARCHAR) AS day, day_no, amount, total_7, total_30, CAST(version AS INTEGER) AS version, total_7 / 1e6::DOUBLE / 7::DOUBLE AS avg_7, total_30 / 1e6::DOUBLE / 30::DOUBLE AS avg_30 FROM state",
 }
