@@ -105,3 +105,18 @@ def test_leaks_of_empty_tables(spark):
     assert leakage.leaks(some.limit(0), texts(spark, [(1, ITEM)], "item_id")).count() == 0
     long = texts(spark, [(1, (ITEM + " filler ") * 3000)], "doc_id")
     assert leakage.leaks(long, texts(spark, [(1, ITEM)], "item_id")).select("doc_id").distinct().count() == 1
+
+
+def test_blocks_of_windows_change_nothing(spark):
+    items = texts(spark, [(k, f"{ITEM} number {k} follows the {k * 7} others that Anna keeps") for k in range(4)], "item_id")
+    docs = texts(spark, [(k, f"so {ITEM.replace('thirty', 'ten')} number {k} follows the 9 others that Omar keeps") for k in range(8)], "doc_id")
+    rows = lambda **kw: sorted(tuple(map(str, x)) for x in leakage.leaks(docs, items, merge=True, **kw).collect())
+    assert rows() == rows(block=7) and rows()
+
+
+def test_no_name_is_left_out_however_many_there_are(spark):
+    rare = "the keeper counts the lamps with Zyxo beside the northern gate of the old town every evening"
+    names = " ".join(f"the N{k:05d}q" for k in range(25_000))
+    items = texts(spark, [(1, rare), (2, f"{names} {names}")], "item_id")
+    docs = texts(spark, [(1, rare.replace("Zyxo", "N00007q"))], "doc_id")
+    assert {x.kind for x in leakage.leaks(docs, items).where("item_id = 1").collect()} == {"reparameterised"}

@@ -31,20 +31,29 @@ gram grams gramme grammes kg kilogram kilograms kilo kilos tonne tonnes ton tons
 litre litres liter liters gallon gallons pint pints second seconds minute minutes hour hours day days week weeks fortnight month months year years
 dollar dollars cent cents euro euros percent degree degrees""".split()
 
-BITS = 20  #: of the bitmap that thins out windows before the join: 2**20 bits, 128 KB, whatever the number of items
+#: Windows of items held against the documents in one pass, at 8 bytes each (128 MB); more are taken in blocks, by hash, a pass a block.
+BLOCK_WINDOWS = 1 << 24
+#: Names of the items that a worker can hold, at 8 bytes each. A larger item set is refused, not cut: give it in parts.
+MOST_NAMES = 1 << 26
 TOKEN = r"[^\p{L}\p{N}]+"
+SEED = 7
 
 
-#: Names kept from the items, the most frequent ones; a name that is not kept is a plain word, which costs a slot and no verbatim match.
-MAX_NAMES = 20_000
+def item_names(items: DataFrame, text: str) -> DataFrame:
+    """(name, an unsigned hash as long): words that items write with a capital inside a sentence, all of them, each once."""
+    found = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=[\p{L}\p{N},;:] )(\p{Lu}[\p{L}\p{N}]+)"), F.lit(1)))
+    said = items.where(F.col(text).isNotNull()).select(found.alias("name")).select(F.lower("name").alias("name")).distinct()
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_word_hash(batch.column(0), SEED).view(np.int64))], names=["name"])
 
+    return said.mapInArrow(hashed, "name long")
 
-def item_names(items: DataFrame, text: str, most: int = MAX_NAMES) -> list[str]:
-    """Words that items write with a capital inside a sentence: names, in lower case."""
-    found = F.explode(F.regexp_extract_all(F.col(text), F.lit(r"(?<=[\p{L}\p{N},;:] )(\p{Lu}[\p{L}\p{N}]+)"), F.lit(1)))
-    counts = items.where(F.col(text).isNotNull()).select(found.alias("name")).groupBy(F.lower("name").alias("name")).agg(F.count("*").alias("n"))
-    rows = counts.orderBy(F.desc("n"), "name").limit(most).collect()
-    return sorted({r["name"] for r in rows} - set(NUMBER_WORDS) - set(UNIT_WORDS))
+
+def _sorted_hashes(df: DataFrame) -> np.ndarray:
+    """The one column of ``df`` on the driver, as sorted unsigned numbers of 8 bytes."""
+    return np.sort(df.toArrow().column(0).to_numpy().view(np.uint64))
 
 
 def _word_hash(words: pa.Array, seed: int) -> np.ndarray:
@@ -65,16 +74,39 @@ def _rolled(x: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def _among(x: np.ndarray, held: np.ndarray) -> np.ndarray:
+    """Which of ``x`` are in the sorted ``held``."""
+    if not len(held):
+        return np.zeros(len(x), bool)
+    return held[np.minimum(np.searchsorted(held, x), len(held) - 1)] == x
+
+
 class Templates:
     """Turns texts into template windows, a batch at a time, in Arrow and numpy."""
 
-    def __init__(self, width: int, names: list[str], merge: bool, bitmap: bytes | None = None):
-        self.width, self.merge = width, merge
-        self.bitmap = None if bitmap is None else np.frombuffer(bitmap, dtype=np.uint8)
-        self.kinds = dict.fromkeys(names, 3) | dict.fromkeys(UNIT_WORDS, 2) | dict.fromkeys(NUMBER_WORDS, 1)
+    def __init__(self, width: int, names, merge: bool, wanted=None):
+        """``names`` and ``wanted`` (hashes of windows to keep, else all) are broadcast variables of sorted hashes."""
+        self.width, self.merge, self.names, self.wanted = width, merge, names, wanted
+        self.fixed = dict.fromkeys(UNIT_WORDS, 2) | dict.fromkeys(NUMBER_WORDS, 1)
+        self.filter = None
+
+    def _kept(self, rolled: np.ndarray) -> np.ndarray:
+        """Which hashes are wanted: a bitmap of 32 bits a hash first, made once a worker, then a search."""
+        wanted = self.wanted.value
+        if self.filter is None:
+            bits = max(16, int(len(wanted) * 32).bit_length())
+            held = np.zeros(1 << bits >> 3, dtype=np.uint8)
+            low = wanted & np.uint64((1 << bits) - 1)
+            np.bitwise_or.at(held, (low >> np.uint64(3)).astype(np.int64), np.uint8(1) << (low & np.uint64(7)).astype(np.uint8))
+            self.filter = bits, held
+        bits, held = self.filter
+        low = rolled & np.uint64((1 << bits) - 1)
+        ok = (held[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        ok[ok] = _among(rolled[ok], wanted)
+        return ok
 
     def windows(self, ids: pa.Array, texts: pa.Array) -> pa.RecordBatch:
-        """id, pos (of the first word), window (template hash), words, kinds; all windows, or those in the bitmap."""
+        """id, pos (of the first word), window (template hash), words, kinds; all windows, or the wanted ones."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         lists = pc.split_pattern_regex(pc.utf8_lower(texts), TOKEN)
         owner = pc.list_parent_indices(lists).to_numpy(zero_copy_only=False)
@@ -87,8 +119,9 @@ class Templates:
         coded = coded.combine_chunks() if isinstance(coded, pa.ChunkedArray) else coded
         vocabulary, code = coded.dictionary, coded.indices.to_numpy()
         listed = vocabulary.to_pylist()
-        kind = np.array([1 if w[0].isdigit() else self.kinds.get(w, 0) for w in listed], dtype=np.int8)
-        hashed = _word_hash(vocabulary, 7)
+        hashed = _word_hash(vocabulary, SEED)
+        kind = np.array([1 if w[0].isdigit() else self.fixed.get(w, 0) for w in listed], dtype=np.int8)
+        kind[(kind == 0) & _among(hashed, self.names.value)] = 3
         for k in (1, 2, 3):
             hashed[kind == k] = np.uint64(k)
         starts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
@@ -101,9 +134,8 @@ class Templates:
         rolled = _rolled(hashed[code[kept]], self.width)
         own = owner[kept]
         ok = own[: len(rolled)] == own[self.width - 1 :] if len(rolled) else np.zeros(0, bool)
-        if self.bitmap is not None:
-            low = rolled & np.uint64((1 << BITS) - 1)
-            ok = ok & (self.bitmap[(low >> np.uint64(3)).astype(np.int64)] >> (low & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+        if self.wanted is not None and len(rolled):
+            ok = ok & self._kept(rolled)
         at = np.flatnonzero(ok)
         first = kept[at]
         after = np.r_[kept, len(code)][at + self.width]
@@ -137,7 +169,7 @@ def template_windows(texts: DataFrame, key: str, text: str, templates: Templates
     return texts.where(F.col(text).isNotNull()).select(F.col(key), F.col(text)).mapInArrow(run, f"id {kind}, pos long, window long, words array<string>, kinds array<int>")
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", width: int = 12, merge: bool = False) -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_key: str = "item_id", text: str = "text", width: int = 12, merge: bool = False, block: int = BLOCK_WINDOWS) -> DataFrame:
     """(doc_id, item_id, doc_pos, item_pos, kind, doc_words, item_words): windows of ``width`` template words in common.
 
     kind is ``verbatim`` (all words equal), ``reparameterised`` (only slots
@@ -148,21 +180,30 @@ def leaks(documents: DataFrame, items: DataFrame, doc_key: str = "doc_id", item_
     length. Replacement looks at one word at a time, so without ``merge`` no
     verbatim passage of ``width`` words is missed.
 
-    The items' windows are held against all documents: a bitmap of fixed size
-    thins the documents' windows inside the scan (it can only let too many
-    pass), then the two are joined on the hash and compared word by word.
-    Names are learned from the items.
+    The items' windows are held against all documents: their hashes, 8 bytes
+    each, thin out the documents' windows inside the scan, then the two are
+    joined on the hash and compared word by word. More than ``block`` of them
+    go in blocks by hash, each a pass over the documents; a window is in one
+    block, so blocks change nothing but the memory. Names are learned from the
+    items, all of them.
     """
-    spark = documents.sparkSession
-    names = item_names(items, text)
+    context = documents.sparkSession.sparkContext
+    known = durable(item_names(items, text), "p8-names")
+    if (count := known.count()) > MOST_NAMES:
+        raise ValueError(f"{count} names in the items, more than a worker can hold ({MOST_NAMES}); give the items in parts")
+    names = context.broadcast(_sorted_hashes(known))
     of_items = durable(template_windows(items, item_key, text, Templates(width, names, merge)), "p8-items")
-    bitmap = bytearray(1 << BITS >> 3)
-    for row in of_items.select((F.col("window").bitwiseAND((1 << BITS) - 1)).alias("b")).distinct().toLocalIterator():
-        bitmap[row["b"] >> 3] |= 1 << (row["b"] & 7)
-    of_docs = template_windows(documents, doc_key, text, Templates(width, names, merge, bytes(bitmap)))
-    met = of_docs.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "window", F.col("words").alias("doc_words"), "kinds").join(
-        of_items.select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("words").alias("item_words"), F.col("kinds").alias("_k")), "window"
-    )
+    hashes = of_items.select("window").distinct()
+    blocks = max(1, -(-hashes.count() // block))
+    met = None
+    for k in range(blocks):
+        mine = F.pmod(F.xxhash64("window"), F.lit(blocks)) == k
+        wanted = context.broadcast(_sorted_hashes(hashes.where(mine)))
+        of_docs = template_windows(documents, doc_key, text, Templates(width, names, merge, wanted))
+        part = of_docs.select(F.col("id").alias("doc_id"), F.col("pos").alias("doc_pos"), "window", F.col("words").alias("doc_words"), "kinds").join(
+            of_items.where(mine).select(F.col("id").alias("item_id"), F.col("pos").alias("item_pos"), "window", F.col("words").alias("item_words"), F.col("kinds").alias("_k")), "window"
+        )
+        met = part if met is None else met.unionByName(part)
     met = met.where(F.col("kinds") == F.col("_k"))
     # the plain words must be equal; the hash alone is not trusted
     plain = F.forall(F.arrays_zip("kinds", "doc_words", "item_words"), lambda z: (z["kinds"] != 0) | (z["doc_words"] == z["item_words"]))
