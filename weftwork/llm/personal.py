@@ -2,11 +2,13 @@
 
 One pass over the texts finds candidate spans and lets labelers vote on each:
 its format (regex), word lists (gazetteers), the words before, the words
-after, and for names how many different names go with the family name.
-Expectation-maximisation over the counts of all vote patterns estimates the
-labelers' reliabilities without labels; its posteriors train a logistic span
-classifier, which decides. Only pattern counts, whose number the votes bound,
-reach the driver.
+after, and for names the company they keep in all texts. Names are proposed
+with and without a list: listed given names in any form, and every run of
+capitalised words that holds no function word. Expectation-maximisation over
+the counts of all vote patterns estimates the labelers' reliabilities and how
+often each kind of proposal is right, without labels; its posteriors train a
+logistic span classifier, which decides. Only pattern counts, whose number the
+votes bound, reach the driver.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from weftwork.session import durable
 
 TYPES = ("email", "phone", "id_number", "address", "name")
 LABELERS = ("format", "gazetteer", "before", "after", "company")
+#: Ways of proposing a span; of names: 0 to 2 a listed given name first (as written, small letters, capitals), 3 last, 4 an initial, 5 a title or address, 6 capitals inside a sentence, 7 at its start.
+SHAPES = 8
+#: The share of each that is expected to be right before anything is counted.
+HOPES = {"name": (0.6, 0.6, 0.6, 0.6, 0.6, 0.6, 0.3, 0.3)}
 #: Spans with at least this probability count.
 THRESHOLD = 0.5
 
@@ -53,7 +59,7 @@ _PHONE = re.compile(
     r"(?<![\w+.#/@\-])(?:"
     r"(?P<strong>\+\d{1,3}[ .\-]?\(0\)[ .\-]?\d{1,4}(?:[ .\-]\d{2,4}){1,4}|\+\d{1,3}(?:[ .\-]\(?\d{1,6}\)?){2,6}|\+\d{8,15}|00\d{2}(?:[ .\-]\d{2,5}){2,5}"
     r"|1[ .\-]\d{3}[ .\-]\d{3}[ .\-]\d{4}|\(\d{2,5}\) ?\d{3,4}[ .\-]?\d{3,4}|0\d{2,4}/\d{5,9}|0\d(?:[ .]\d{2}){4}|\d{3}[.\-]\d{3}[.\-]\d{4}|0\d{3} \d{3} \d{3,4}|0\d{2} \d{4} \d{4}|0\d{4} \d{5,6}|0\d{3} \d{6,8}|0\d{9})"
-    r"|(?P<weak>0\d{10}|[2-9]\d{2}[2-9]\d{6}|\d{3} \d{3} \d{4}|\d{3} \d{4}))(?![\w@]|[./\-]\d)"
+    r"|(?P<weak>0\d{10}|[2-9]\d{2}[2-9]\d{6}|\d{3} \d{3} \d{4}|\d{3}[ \-]\d{4}))(?![\w@]|[./\-]\d)"
 )
 _ID = re.compile(
     r"(?<![\w+.#/@\-])(?:"
@@ -77,17 +83,19 @@ _INITIAL = re.compile(rf"[{_U}](?<![\w.'’@\-].)\.(?: ?[{_U}]\.)? {{1,2}}(?P<fa
 _TITLED = re.compile(rf"(?<!\w)(?:Dr|Mr|Mrs|Ms|Prof|Frau|Herr|Mme|Madame|Monsieur|señora?|Señora?|Sra?)\.? (?P<name>(?P<given>[{_U}]{_L}+) (?:[{_U}]\. )?(?P<family>{_FAMILY}))(?![\w@])")
 _ADDRESSED = re.compile(rf"(?P<name>(?P<given>[{_U}]{_L}+) (?:[{_U}]\. )?(?P<family>{_FAMILY}))\"? <[^<>\s]+@")
 
+# Words before and after, in English, German, French and Spanish.
 _CUES = {
-    "phone": re.compile(r"(?:call|phone|tel|mob|mobile|fax|cell|number on|ring|reach|dial|ruf|unter|telefon|handy|rappelle|numéro|appel|llám|teléfono|móvil|\b[mt]\b)\W*(?:\w+\W+){0,4}$", re.I),
-    "id_number": re.compile(r"(?:identity|passport|licen[cs]e|tax|social|security|insurance|id\b|ssn|nino|dni|ausweis|steuer|nummer|passeport|pièce|identité|demandé|identidad|identificación|documento|gave)\W*(?:\w+\W+){0,5}$", re.I),
+    "phone": re.compile(r"(?:call|phone|tel|mob|mobile|fax|cell|number on|ring|reach|dial|text|whatsapp|ruf|unter|telefon|handy|rappelle|numéro|appel|joindre|llám|teléfono|móvil|\b[mt]\b)\W*(?:\w+\W+){0,4}$", re.I),
+    "id_number": re.compile(r"(?:identity|passport|licen[cs]e|tax|social|security|insurance|id\b|ssn|nino|dni|nie|ausweis|steuer|nummer|passeport|pièce|identité|permis|identidad|identificación|documento|pasaporte)\W*(?:\w+\W+){0,5}$", re.I),
     "address": re.compile(r"(?:moving|move[ds]?|meet|at|to|parcel|lives?|living|address|zieh\w*|nach|paket|an|wohn\w*|habit\w*|colis|au|vivimos|vive|paquete|en|adresse|dirección)\W*(?:\w+\W+){0,2}$", re.I),
-    "name": re.compile(r"(?:\b(?:dr|mr|mrs|ms|prof|miss|sir|frau|herr|mme|señora?|sra?)\b\.?|with|from|to|cc|von|an|de|à|para|by|ich|croisé|con|thanks|regards|sincerely|grüße|cordialement|saludos|[\"<>:,*\-])\s*$", re.I),
+    "name": re.compile(r"(?:\b(?:dr|mr|mrs|ms|prof|miss|sir|frau|herr|mme|señora?|sra?)\b\.?|with|from|to|cc|by|met|asked|told|and|dear|hello|hi|liebe[rs]?|hallo|cher|chère|hola|estimad[oa]|von|an|mit|bei|und|de|à|avec|par|et|para|con|por|y|thanks|regards|sincerely|grüße|cordialement|saludos|[\"<>:,*\-])\s*$", re.I),
 }
+_STOP = r"[\"<,.:;!?)\]]|$|\n|\r"
 _AFTER = {
-    "phone": re.compile(r"\s*(?:once|\(|zurück|ce soir|por la|\.|,|$|\n|\r)"),
-    "id_number": re.compile(r"\s*(?:was on|\.|,|$|\n|\r)", re.I),
-    "address": re.compile(r"\s*(?:in spring|at the|,|\.|um\b|desde|depuis|$|\n|\r)", re.I),
-    "name": re.compile(r"\s*(?:[\"<,.:]|never|changed|about|for|hat|nicht|getroffen|au|n'a|no\b|en la|wrote|schrieb|a écrit|escribió|$|\n|\r)", re.I),
+    "phone": re.compile(rf"\s*(?:\(|{_STOP}|(?:ext|extension|durchwahl|poste|before|after|until|today|tonight|tomorrow|heute|morgen|ce soir|demain|hoy|mañana|or|oder|ou|o)\b)", re.I),
+    "id_number": re.compile(rf"\s*(?:{_STOP}|(?:is|was|ist|war|est|était|es|era)\b)", re.I),
+    "address": re.compile(rf"\s*(?:{_STOP}|(?:in|at|on|from|since|near|until|um|ab|seit|bis|depuis|dès|desde|hasta)\b)", re.I),
+    "name": re.compile(rf"\s*(?:{_STOP}|(?:said|says|wrote|writes|called|calls|told|asked|asks|is|was|has|had|will|would|can|could|and|about|for|hat|ist|war|wird|sagt|sagte|fragt|schrieb|schreibt|und|nicht|a|est|était|dit|va|et|au|ha|es|era|dijo|dice|va|y|en|no|n'a|never)\b)", re.I),
 }
 _DECOY = re.compile(r"(?:invoice|order|ticket|batch|section|version|build|scored?|room|set|units?|meter|meter read|ref|article|isbn|sku|serial|page|chapter|lot|case|rechnung|bestell\w*|facture|commande|factura|pedido)\b[\s#:.\-]*(?:no\.? ?)?[\w\-]*$", re.I)
 _FIRM = re.compile(r"\s*(?:&|Ltd|Limited|Inc|GmbH|AG|LLC|PLC|Corp|Corporation|Company|Co\b|Group|Trust|Bank|Partners|University|Hospital|School|Street|St\b|Road|Rd\b|Avenue|Lane|Drive|Close|Terrace|Crescent|Parade)")
@@ -99,6 +107,33 @@ _NO_FAMILY = set(
 )
 
 
+# Words that begin sentences, greetings and closings, and what stands in the names of firms, offices and jobs: no part of a person's name.
+_NO_NAME = _NO_FAMILY | set(
+    """above according across against almost along already among another any anybody anyone anything are around as ask because been both bring but can cannot check could did do does don each either else
+    even ever every everyone everything few find first for further get give given good has have having her hers him how however if in indeed inside instead into just keep kindly last later least less let like likewise long
+    look make many may maybe meanwhile might mine more most much must near neither never new none nor nothing now of off often ok old only other others ought our out outside per perhaps please put quite rather
+    read really right said same say second see send several shall should show since some somebody someone something sometimes soon still such sure take tell thank that their them themselves third though through thus together
+    too try two unless unlike until up upon us use usually various very via want well were whatever whenever whether which whoever whole will within without would yet yesterday your yours
+    am an auf aus bei beim bis da dabei dafür damit danach dann daran darauf darum das dass dem den denn deren des deshalb dessen dich die dies diese diesem diesen dieser dieses dir doch dort du durch ein eine einem einen einer eines
+    endlich erst etwas euch euer falls für gegen gestern hat hatte heute hier hin hinter im immer ihm ihn ihnen ihr ihre in ins ist ja jede jedem jeden jeder jedes jetzt kein keine kurz leider man mein meine meinem meinen meiner mich mir mit morgen
+    nach neben nicht nichts noch nun nur ob oder ohne schon sehr sein seine seit sich sie sind so sobald solche sollte sollten sonst trotz über um und uns unser unsere unter viel viele vielen vom von vor wann war waren warum was weder wegen weil welche welcher wenn wer
+    wie wieder wird wo wohl zu zum zur zwar zwischen liebe lieber liebes hallo guten bitte danke grüße gruß mfg
+    au aux avec avant après alors aussi autre autres bien bonjour bonsoir car ce cela celle celui ces cet cette chaque chez cher chère comme comment dans de depuis des dès donc du elles en encore enfin entre est et eux ici ils jamais je jusque lorsque lui ma mais malgré
+    même merci mes mon ne ni non nos notre on oui par parce parfois pas pendant peu peut plus pour pourquoi près puis quand que quel quelle quelques qui quoi sa salut sans selon ses si sinon son sous sur ta tandis tant te tes toi ton toujours tous tout toute toutes très trop tu vers vos votre
+    al algo alguien algún alguna ante antes aquel aquella aquí aún aunque bajo bien buenos buenas cada casi como con contra cual cuando de del desde donde durante ella ellos en entonces entre era es esa ese eso esta estas este esto estos gracias hasta hola hoy jamás la las le les lo luego mañana más
+    mi mientras mis mucho muy nada ni no nos nosotros nuestra nuestro nunca otra otro para pero poco por porque pues que querida querido quien se según ser si sí siempre sin sino sobre su sus tal también tan tanto te tras tu un una unos ustedes ya yo
+    mon tue tues wed thu thur thurs fri sat sun jan feb mar apr jun jul aug sep sept oct nov dec januar februar märz mai juni juli oktober dezember montag dienstag mittwoch donnerstag freitag samstag sonntag
+    janvier février mars avril juin juillet août septembre octobre novembre décembre lundi mardi mercredi jeudi vendredi samedi dimanche enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre lunes martes miércoles jueves viernes sábado domingo
+    best kind warm many thanks yours sincerely faithfully cheers attention note notice confidential confidentiality disclaimer warning original forwarded message attachment attachments re fwd aw wg invoice order ticket version section page chapter figure table part room
+    account accountant administration administrator advisor agency agent analyst architect assistant associate association author authority bank bay board bureau care centre center chair chairman chairwoman chief church city clerk clinic college commission committee community
+    company conference consultant contact coordinator corporation council county customer data dean department deputy design desk developer development director district division doctor editor engineer engineering executive field finance
+    foundation fund general group head health help hospital hotel house human inc information institute international island lab lake lead leader library limited llc ltd mail management manager marketing mayor meeting ministry museum national network news north nurse
+    office officer online operations organisation organization park partner partners planning policy president press principal product professor program programme project public publishing records region regional relations report research resources river road
+    sales school science secretary security senior service services shop society software solutions south specialist staff station street studio summary supervisor support system systems teacher team technical technology theatre trust union unit university update west east world""".split()
+)
+_COMMON_END = re.compile(r"(?:tion|ment|ness|ship|ität|keit|heit|schaft|ungen|mente)$", re.I)
+
+
 def known_given(extra: list[str] = ()) -> set[str]:
     """Given names as they may be written: full ones in any case, short ones (of more than three letters) with a capital only, as many are words too."""
     full = set(NICKNAMES) | set(GIVEN) | set(extra)
@@ -127,6 +162,36 @@ def _context(t: str, s: int, e: int, kind: str) -> tuple[int, int]:
     return b, 1 if _AFTER[kind].match(after) or after == "" else 0
 
 
+_CAPITAL = rf"[{_U}]{_L}*(?:['’\-]{_L}+)*"
+#: Runs of capitalised words; a middle initial may stand between.
+_OPEN = re.compile(rf"(?<![\w@.'’\-/&]){_CAPITAL}(?: {{1,2}}[{_U}]\.)?(?: {{1,2}}{_CAPITAL})+(?![\w@&]|[.'’\-][{_U}\w])")
+_SENTENCE = re.compile(r"(?:^|[.!?…:]['\")\]»”]*\s+|[\n\r\t>*•\-–—|]\s*)\Z")
+_SIGNED = re.compile(r"(?:,|^--)[ \t]*\r?\n(?:[ \t]*\r?\n)?[ \t>]*\Z", re.M)
+
+
+def open_names(t: str) -> Iterator[tuple[int, int, str, str, bool]]:
+    """(start, end, given, family, at a sentence's start) of runs of capitalised words that may be names, whatever the words.
+
+    Function words, greetings and titles before a run are taken off; a run with
+    such a word inside, in capitals throughout, or of more than three words
+    besides an initial is none.
+    """
+    for m in _OPEN.finditer(t):
+        run = m.group()
+        if run.isupper():
+            continue
+        words = [w for w in re.finditer(r"\S+", run)]
+        first = 0
+        while first < len(words) and words[first].group().rstrip(".").lower() in _NO_NAME:
+            first += 1
+        words = words[first:]
+        whole = [w.group() for w in words if not w.group().endswith(".")]
+        if not 2 <= len(whole) <= 3 or any(len(w) < 2 or w.lower() in _NO_NAME or w.isupper() or _COMMON_END.search(w) for w in whole):
+            continue
+        s = m.start() + words[0].start()
+        yield s, m.end(), whole[0], whole[-1], first == 0 and bool(_SENTENCE.search(t, max(0, s - 8), s))
+
+
 def _places(t: str, words: set[str]) -> Iterator[tuple[int, int]]:
     """Where ``words`` stand in ``t`` as whole words."""
     for w in words:
@@ -250,6 +315,15 @@ def candidates(t: str, given: set[str]) -> list[tuple]:
     for pattern, check in ((_TITLED, not words.isdisjoint(_TITLES)), (_ADDRESSED, " <" in t)):
         for m in pattern.finditer(t) if check else ():
             name(*m.span("name"), m["given"], m["family"], 1, 0, 5)
+    for s, e, g, f, at_start in open_names(t):
+        if not (free(s, e) and not any(s < b and a < e for a, b in seen)) or _FIRM.match(t, e):
+            continue
+        line_start = max(t.rfind("\n", 0, s), t.rfind("\r", 0, s)) + 1
+        before, after = _context(t, s, e, "name")
+        if not t[line_start:s].strip(" >\t*-"):  # at the head of a line: only what stands above it can tell a signature
+            before = 1 if _SIGNED.search(t, max(0, s - 60), s) else 0
+        seen.add((s, e))
+        out.append(("name", s, e, 0 if at_start else 1, 0, before, after, 7 if at_start else 6, g.lower(), f.lower()))
     return out
 
 
@@ -296,32 +370,33 @@ def find_candidates(texts: DataFrame, given: list[str] = ()) -> DataFrame:
     return texts.where(F.col("text").isNotNull()).select("src", "row_id", "text").mapInArrow(scan, f"src string, row_id bigint, {_SPAN}")
 
 
-def learn_given(headers: DataFrame, text: str = "text", share: float = 0.0005) -> list[str]:
-    """Given names that head addresses: words beside at least three family names and in ``share`` of all such lines, so at most 1/share of them."""
+def learn_given(headers: DataFrame, text: str = "text", families: int = 3) -> DataFrame:
+    """(given): words that head addresses beside at least ``families`` different family names, however rare they are; a table, not a list."""
     found = F.regexp_extract_all(F.col(text), F.lit(rf'(?m)^>*\s*\*?(?:From|To|Cc|Von|An|De|À|Para)\s?:\*? "?([\p{{Lu}}]\p{{L}}+ \p{{Lu}}[\p{{L}}\-]+)"? <[^<>@\s]+@'), F.lit(1))
     pairs = headers.where(F.col(text).contains("@")).select(F.explode(found).alias("n")).select(F.lower(F.split("n", " ")[0]).alias("given"), F.lower(F.split("n", " ")[1]).alias("family"))
-    counts = pairs.groupBy("given").agg(F.count("*").alias("n"), F.approx_count_distinct("family").alias("families"))
-    counts = counts.where("families >= 3")
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]
-    rows = counts.where(F.col("n") >= share * total).select("given").collect()
-    return sorted(r["given"] for r in rows)
+    counts = pairs.groupBy("given").agg(F.approx_count_distinct("family").alias("families"))
+    return counts.where(F.col("families") >= families).select("given")
 
 
-def expectation_maximisation(votes: np.ndarray, n: np.ndarray, rounds: int = 100, strength: float = 25.0) -> tuple[np.ndarray, np.ndarray]:
+def expectation_maximisation(votes: np.ndarray, n: np.ndarray, group: np.ndarray | None = None, hope: np.ndarray | None = None, rounds: int = 100, strength: float = 25.0) -> tuple[np.ndarray, np.ndarray]:
     """Posteriors of the vote patterns (rows of -1, 0, 1; n occurrences each) and the labelers' tables P(vote | truth).
 
+    ``group`` numbers the ways in which spans are proposed, and ``hope`` says
+    what share of each is expected to be right; the shares are estimated too.
     Starts from, and is drawn to, moderately reliable labelers; ``strength``
     is the weight of that prior in spans, so that it matters on small data only.
     """
     prior = np.array([[0.75, 0.0, 0.25], [0.12, 0.0, 0.88]]) * strength  # [truth][vote -1, 0, 1]
     table = np.repeat((prior / prior.sum(axis=1, keepdims=True))[None], votes.shape[1], axis=0)
-    share = 0.6
+    group = np.zeros(len(votes), dtype=int) if group is None else group
+    hope = np.full(int(group.max(initial=0)) + 1, 0.6) if hope is None else hope
+    share = hope.copy()
     for _ in range(rounds):
-        like = np.ones((len(votes), 2)) * np.array([1 - share, share])
+        like = np.c_[1 - share[group], share[group]]
         for k in range(votes.shape[1]):
-            like *= np.where((votes[:, k] == 0)[:, None], 1.0, table[k][:, votes[:, k] + 1].T)  # who abstains says nothing
+            like = like * np.where((votes[:, k] == 0)[:, None], 1.0, table[k][:, votes[:, k] + 1].T)  # who abstains says nothing
         post = like[:, 1] / like.sum(axis=1)
-        share = float(((n * post).sum() + 6) / (n.sum() + 10))
+        share = (np.bincount(group, n * post, len(hope)) + 10 * hope) / (np.bincount(group, n, len(hope)) + 10)
         for k in range(votes.shape[1]):
             for z, w in ((0, 1 - post), (1, post)):
                 table[k][z] = prior[z] + np.bincount(votes[:, k] + 1, n * w * (votes[:, k] != 0), 3)
@@ -342,7 +417,7 @@ def train_classifier(features: np.ndarray, target: np.ndarray, n: np.ndarray, st
 
 def _features(patterns: pd.DataFrame) -> np.ndarray:
     columns = [(patterns[c].to_numpy()[:, None] == np.array([-1, 1])).astype(float) for c in LABELERS]
-    return np.hstack([*columns, (patterns["shape"].to_numpy()[:, None] == np.arange(6)).astype(float)])
+    return np.hstack([*columns, (patterns["shape"].to_numpy()[:, None] == np.arange(SHAPES)).astype(float)])
 
 
 def decide(patterns: pd.DataFrame) -> pd.DataFrame:
@@ -352,29 +427,45 @@ def decide(patterns: pd.DataFrame) -> pd.DataFrame:
         of_kind = of_kind.reset_index(drop=True)
         votes = of_kind[list(LABELERS)].to_numpy().astype(int)
         n = of_kind["n"].to_numpy().astype(float)
-        posterior, _ = expectation_maximisation(votes, n)
+        shape = of_kind["shape"].to_numpy().astype(int)
+        posterior, _ = expectation_maximisation(votes, n, shape, np.array(HOPES.get(of_kind["kind"][0], [0.6] * SHAPES)))
         x = _features(of_kind)
         w = train_classifier(x, posterior, n)
         parts.append(of_kind.assign(posterior=posterior, p=1 / (1 + np.exp(-(np.c_[np.ones(len(x)), x] @ w)))))
     return pd.concat(parts) if parts else patterns.assign(posterior=0.0, p=0.0)
 
 
-def find_personal(texts: DataFrame, given: list[str] = (), threshold: float = THRESHOLD) -> DataFrame:
+def with_company(found: DataFrame, learned: DataFrame | None) -> DataFrame:
+    """Candidates with the column company, and given names that address headers teach in gazetteer.
+
+    company is 1 for a name whose family name stands beside another, listed or
+    learned, given name somewhere in the texts, else 0: more data can speak for
+    a name, never against it. Only names are joined; the others have no family.
+    """
+    names, others = found.where("kind = 'name'"), found.where("kind <> 'name'")
+    if learned is not None:
+        names = names.join(learned.select("given", F.lit(True).alias("_known")).distinct(), "given", "left")
+        names = names.withColumn("gazetteer", F.when((F.col("gazetteer") == 0) & F.col("_known"), 1).otherwise(F.col("gazetteer")).cast("byte")).drop("_known")
+    pairs = names.where("gazetteer = 1").select("family", "given").distinct()
+    families = pairs.groupBy("family").agg(F.min("given").alias("_one"), F.max("given").alias("_other"))
+    other = F.col("_one").isNotNull() & ((F.col("_one") != F.col("given")) | (F.col("_other") != F.col("given")))
+    names = names.join(families, "family", "left").withColumn("company", F.when(other, 1).otherwise(0).cast("byte")).drop("_one", "_other")
+    return names.unionByName(others.withColumn("company", F.lit(0).cast("byte")))
+
+
+def find_personal(texts: DataFrame, given: DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """(src, row_id, pii_type, pii_text, start, end, p): the personal spans of texts (src, row_id, text).
 
     Types are email, phone, id_number, address and name; start and end count
     code points. Of spans that overlap, the likelier, then the longer one
-    holds. Placeholders, firms' names, and numbers of invoices, orders,
+    holds. ``given`` is a table of learned given names. Placeholders, firms' names, and numbers of invoices, orders,
     versions and the like do not count. Null and empty texts have none;
     repeated rows give repeated spans once.
     """
     spark = texts.sparkSession
-    found = durable(find_candidates(texts, given).distinct(), "p1-candidates")
-    families = found.where("kind = 'name'").groupBy("family").agg(F.count_distinct("given").alias("given_names"))
-    company = F.when(F.col("kind") != "name", 0).when(F.col("given_names") <= 6, 1).when(F.col("given_names") > 20, -1).otherwise(0)
-    found = found.join(families, "family", "left").withColumn("company", company.cast("byte"))
+    found = with_company(durable(find_candidates(texts).distinct(), "p1-candidates"), given)
     key = ["kind", *LABELERS, "shape"]
-    patterns = found.groupBy(*key).agg(F.count("*").alias("n")).toPandas()  # at most 5 kinds x 3**5 votes x 6 shapes
+    patterns = found.groupBy(*key).agg(F.count("*").alias("n")).toPandas()  # at most 5 kinds x 3**5 votes x 8 shapes
     scored = decide(patterns)
     model = spark.createDataFrame(scored[[*key, "p"]].astype(dict.fromkeys([*LABELERS, "shape"], int)), ", ".join(["kind string", *[f"{c} int" for c in [*LABELERS, "shape"]], "p double"])) if len(scored) else None
     if model is None:
