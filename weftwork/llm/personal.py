@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.llm.naming import NICKNAMES
+from weftwork.llm.naming import GIVEN, NICKNAMES
 from weftwork.session import durable
 
 TYPES = ("email", "phone", "id_number", "address", "name")
@@ -35,12 +35,6 @@ HOPES = {"name": (0.6, 0.6, 0.6, 0.6, 0.6, 0.6, 0.3, 0.3)}
 #: Spans with at least this probability count.
 THRESHOLD = 0.5
 
-# Given names beside those that have nicknames.
-GIVEN = """agnieszka álvaro anaïs bogdan björn carmen dmitri esperanza fatima françoise günther hélène hiroko ibrahim ingrid jürgen kwame linnea łukasz mara mehmet nadia
-noor oksana olumide paolo priya quentin renée soledad søren tariq tomás ursula vikram wendeline xiomara yusuf yvette zoë anna maria eva laura julia sofia lena marie pierre jean luc
-michel antoine sophie claire camille juan pedro pablo luis javier miguel ana lucía elena marta hans peter klaus jürg stefan thomas markus andreas heike petra sabine monika
-mohammed ahmed ali omar aisha wei li chen yuki kenji sven lars nils olga ivan natasha giulia marco luca""".split()
-
 # Kinds of street in English; before the name in French and Spanish; endings of German ones.
 STREETS = "street st road rd avenue ave lane ln drive close crescent cres terrace parade court place boulevard blvd way square highway row grove gardens mews walk quay esplanade".split()
 FRENCH = r"rue|avenue|av\.|boulevard|bd\.?|chemin|impasse|place|allée|quai|cours|route|passage|square"
