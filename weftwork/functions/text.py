@@ -73,11 +73,16 @@ def when_contained(low: Column, pattern: str, value: Column, otherwise: Column)
     return F.when(low.contains(part), value).otherwise(otherwise) if part else value
 
 
-def distinct_by_lower(values: Column, cap: int) -> Column:
-    """The first of each spelling without case, in order, at most ``cap``."""
+def first_of(values: Column, cap: int | None) -> Column:
+    """The first ``cap`` values, or all of them."""
+    return values if cap is None else F.slice(values, 1, cap)
+
+
+def distinct_by_lower(values: Column, cap: int | None) -> Column:
+    """The first of each spelling without case, in order, at most ``cap`` if there is one."""
     low = F.transform(values, lambda v: F.lower(F.trim(v)))
     kept = F.filter(values, lambda v, i: F.array_position(low, F.lower(F.trim(v))) == i + 1)
-    return F.slice(F.transform(kept, lambda v: F.trim(v)), 1, cap)
+    return first_of(F.transform(kept, lambda v: F.trim(v)), cap)
 
 
 def strip_html(html: Column) -> Column:
@@ -91,14 +96,14 @@ def strip_html(html: Column) -> Column:
 
 def clean_pages(text: Column) -> Column:
     """Text of printed pages: words divided at line ends joined, blanks squeezed, at most one empty line."""
-    out = F.regexp_replace(text, r"-\n(\w)", "$1")
+    out = F.regexp_replace(text, r"-\n([\p{L}\p{N}_])", "$1")
     return F.regexp_replace(F.regexp_replace(out, r"[ \t]+", " "), r"\n{3,}", "\n\n")
 
 
 def normalise_phone(raw: Column) -> Column:
     """Digits, and a plus sign at the start only."""
     kept = F.regexp_replace(raw, r"[^\d+]", "")
-    return F.concat(F.substring(kept, 1, 1), F.regexp_replace(F.substring(kept, 2, 1 << 20), r"\+", ""))
+    return F.concat(F.substring(kept, 1, 1), F.regexp_replace(F.substring(kept, F.lit(2), F.length(kept)), r"\+", ""))
 
 
 def normalise_email(raw: Column) -> Column:
@@ -108,7 +113,7 @@ def normalise_email(raw: Column) -> Column:
 def normalise_name(raw: Column) -> Column:
     """Every run of letters with a capital first and small letters after: "o'brien" gives "O'Brien"."""
     parts = F.regexp_extract_all(F.trim(raw), F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0))
-    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, 2, 1 << 20)))), "")
+    return F.array_join(F.transform(parts, lambda p: F.concat(F.upper(F.substring(p, 1, 1)), F.lower(F.substring(p, F.lit(2), F.length(p))))), "")
 
 
 def content_hash(text: Column) -> Column:

@@ -16,13 +16,14 @@ def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name_key:
     the candidates are verified. Null and blank names match nothing.
     """
     tidy = names.select(name_key, F.lower(F.trim(name)).alias("_name")).where("_name <> ''").select(name_key, "_name", F.element_at(T.tokens(F.col("_name")), 1).alias("_first")).where("_first is not null")
-    words = texts.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("_low"))
-    words = words.select(key, "_low", F.explode(F.array_distinct(T.tokens(F.col("_low")))).alias("_first"))
-    met = words.join(tidy.distinct(), "_first")
-    # the name between characters that belong to no word
-    framed = F.concat(F.lit(" "), F.regexp_replace("_low", r"[^\p{L}\p{N}_]", " "), F.lit(" "))
-    sought = F.concat(F.lit(" "), F.regexp_replace("_name", r"[^\p{L}\p{N}_]", " "), F.lit(" "))
-    return met.where(framed.contains(sought)).select(key, name_key).distinct()
+    low = texts.where(F.col(text).isNotNull()).select(key, F.lower(text).alias("_low"))
+    words = low.select(key, F.explode(F.array_distinct(T.tokens(F.col("_low")))).alias("_first"))
+    # words and names meet without the texts, which are joined to the candidates only, once a text
+    met = words.join(tidy.distinct(), "_first").groupBy(key).agg(F.collect_set(F.struct(name_key, "_name")).alias("_met"))
+    framed = lambda c: F.concat(F.lit(" "), F.regexp_replace(c, r"[^\p{L}\p{N}_]", " "), F.lit(" "))
+    rows = met.join(low, key).select(key, framed(F.col("_low")).alias("_text"), "_met")
+    held = F.filter("_met", lambda m: F.contains(F.col("_text"), framed(m["_name"])))
+    return rows.select(key, F.explode(held).alias("_m")).select(key, F.col(f"_m.{name_key}").alias(name_key)).distinct()
 
 
 def during(points: DataFrame, at: str, spans: DataFrame, start: str, end: str, bucket_days: int = 30) -> DataFrame:
@@ -55,11 +56,11 @@ def resolve(found: DataFrame, registry: DataFrame) -> DataFrame:
     """Entities found in texts (entity_type, value) with what a prompt may say of them.
 
     known: whether the registry confirms it; shown: the placeholder if it is
-    to be anonymised, else the display name, else the value.
+    to be anonymised, else the display name, else the value. Of several registered ones the first by id holds.
     """
     types = F.lower(F.trim("entity_type"))
-    reg = registry.where("confirmed").select(types.alias("entity_type"), F.lower(F.trim("normalised_value")).alias("_v"), "display_name", "anonymise_in_prompts", "placeholder_name")
-    reg = reg.groupBy("entity_type", "_v").agg(F.min(F.struct("display_name", "anonymise_in_prompts", "placeholder_name")).alias("_r"))
+    reg = registry.where("confirmed").select(types.alias("entity_type"), F.lower(F.trim("normalised_value")).alias("_v"), "display_name", "anonymise_in_prompts", "placeholder_name", "id")
+    reg = reg.groupBy("entity_type", "_v").agg(F.min_by(F.struct("display_name", "anonymise_in_prompts", "placeholder_name"), "id").alias("_r"))
     joined = found.withColumn("_v", F.lower(F.trim("value"))).join(reg, ["entity_type", "_v"], "left")
     shown = F.when(F.col("_r.anonymise_in_prompts"), F.coalesce("_r.placeholder_name", F.concat(F.lit("["), F.upper("entity_type"), F.lit("]")))).otherwise(F.coalesce("_r.display_name", "value"))
     return joined.select(*found.columns, F.col("_r").isNotNull().alias("known"), shown.alias("shown"))

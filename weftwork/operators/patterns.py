@@ -41,3 +41,16 @@ def emerging(patterns: DataFrame, insights: DataFrame, k: int = 3) -> DataFrame:
     of_patterns = patterns.select(F.lit("pattern").alias("source"), "id", "summary", (F.col("strength") * 0.7).alias("significance"), F.lit(0.4).alias("confidence"))
     top = insights.orderBy(F.desc("significance"), "id").limit(k).select(F.lit("insight").alias("source"), "id", "summary", (F.col("significance") * 0.5).alias("significance"), F.lit(0.3).alias("confidence"))
     return of_patterns if patterns.limit(1).count() else top
+
+
+def common_themes(insights: DataFrame, least: int = 3) -> DataFrame:
+    """(theme, n, cluster_key): themes of at least ``least`` insights, and the themes that all of them have, sorted, as the cluster's key.
+
+    A theme is common to a cluster if it meets the cluster's own theme as often
+    as that occurs: one self-join on the insight, whose list of themes is short.
+    """
+    rows = insights.select("id", F.explode(F.array_distinct(F.transform("themes", lambda t: F.lower(F.trim(t))))).alias("theme"))
+    sizes = rows.groupBy("theme").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    met = rows.join(rows.withColumnRenamed("theme", "other"), "id").groupBy("theme", "other").agg(F.count("*").alias("k"))
+    common = met.join(sizes, "theme").where("k = n").groupBy("theme", "n").agg(F.array_join(F.array_sort(F.collect_list("other")), ",").alias("cluster_key"))
+    return common.select("theme", "n", "cluster_key")

@@ -85,12 +85,13 @@ def first_of_each(df: DataFrame, by: list[str], order: list[Column], n: int) ->
 
 
 def column_profile(df: DataFrame) -> DataFrame:
-    """(column, rows, non_empty, distinct_values, numeric, dates): of each column, in one pass over the table."""
+    """(column, rows, non_empty, distinct_values, numeric, dates): of each column, in one pass over the table. A date begins with yyyy-MM-dd, a number may carry a currency sign."""
     parts = F.array(*[F.struct(F.lit(c).alias("column"), F.nullif(F.trim(F.col(f"`{c}`").cast("string")), F.lit("")).alias("v")) for c in df.columns])
     cells = df.select(F.explode(parts).alias("p")).select("p.column", "p.v")
-    number = F.regexp_replace("v", r"[$,€£ ]", "").try_cast("double")
+    number = F.regexp_replace("v", r"[$,€£ ]", "").rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$")
+    date = F.col("v").rlike(r"^\d{4}-\d{2}-\d{2}([T ].*)?$") & F.substring("v", 1, 10).try_cast("date").isNotNull()
     return cells.groupBy("column").agg(
-        F.count("*").alias("rows"), F.count("v").alias("non_empty"), F.count_distinct("v").alias("distinct_values"), F.count(number).alias("numeric"), F.count(F.col("v").try_cast("date")).alias("dates")
+        F.count("*").alias("rows"), F.count("v").alias("non_empty"), F.count_distinct("v").alias("distinct_values"), F.count_if(number).alias("numeric"), F.count_if(date).alias("dates")
     )
 
 

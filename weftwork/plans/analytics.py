@@ -179,11 +179,11 @@ def existing_themes(spark: SparkSession, sf: str) -> DataFrame:
     return V.insights(spark, sf).select(F.explode("themes").alias("theme")).distinct()
 
 
-@query("""WITH c AS (UNPIVOT (SELECT CAST(case_id AS VARCHAR) AS case_id, CAST(provider AS VARCHAR) AS provider, CAST(input_tokens AS VARCHAR) AS input_tokens, CAST(success AS VARCHAR) AS success FROM cost_logs) ON case_id, provider, input_tokens, success)
-SELECT name AS "column", (SELECT count(*) FROM cost_logs) AS rows, count(*) AS non_empty, count(DISTINCT value) AS distinct_values, count(TRY_CAST(value AS DOUBLE)) AS numeric, CAST(0 AS BIGINT) AS dates FROM c GROUP BY 1""")
+@query(r"""WITH c AS (UNPIVOT (SELECT CAST(COLUMNS(*) AS VARCHAR) FROM cost_logs) ON COLUMNS(*)), v AS (SELECT name, nullif(trim(value), '') AS v FROM c)
+SELECT name AS "column", (SELECT count(*) FROM cost_logs) AS rows, count(v) AS non_empty, count(DISTINCT v) AS distinct_values, count(*) FILTER (regexp_full_match(regexp_replace(v, '[$,€£ ]', '', 'g'), '[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?')) AS numeric,
+  count(*) FILTER (regexp_full_match(v, '\d{4}-\d{2}-\d{2}([T ].*)?') AND TRY_CAST(substring(v, 1, 10) AS DATE) IS NOT NULL) AS dates FROM v GROUP BY 1""")
 def col_stats(spark: SparkSession, sf: str) -> DataFrame:
-    out = stats.column_profile(table(spark, sf, "cost_logs").select("case_id", "provider", "input_tokens", "success"))
-    return out.withColumn("dates", F.lit(0).cast("long"))
+    return stats.column_profile(table(spark, sf, "cost_logs"))
 
 
 # joins -------------------------------------------------------------------------------------------
@@ -221,11 +221,21 @@ def scalar_first_source(spark: SparkSession, sf: str) -> DataFrame:
 _framed = r"' ' || regexp_replace({0}, '[^\p{{L}}\p{{N}}_]', ' ', 'g') || ' '"
 
 
-@query(rf"""WITH p AS (SELECT id, lower(trim(raw_value)) AS name FROM entity_registry WHERE lower(trim(entity_type)) IN ('person', 'organisation')), t AS (SELECT doc_id, lower(text) AS low FROM documents WHERE text IS NOT NULL)
-SELECT DISTINCT doc_id, id AS entity_id FROM t JOIN p ON contains({_framed.format('low')}, {_framed.format('name')})""")
+_GIVEN = r"p AS (SELECT regexp_extract(raw_value, '^(\p{L}{3,}) ', 1) AS name, min(id) AS id FROM entity_registry WHERE lower(trim(entity_type)) = 'person' AND regexp_matches(raw_value, '^\p{L}{3,} ') AND confirmed IS NOT NULL GROUP BY 1)"
+
+
+def _given_names(spark, sf):
+    """(id, raw_value): the first words of persons' names as they were typed, each with the first of its rows; the test mails name nobody of the registry in full."""
+    rows = table(spark, sf, "entity_registry").where((F.lower(F.trim("entity_type")) == "person") & F.col("raw_value").rlike(r"^\p{L}{3,} ") & F.col("confirmed").isNotNull())
+    return rows.groupBy(F.regexp_extract("raw_value", r"^(\p{L}{3,}) ", 1).alias("raw_value")).agg(F.min("id").alias("id"))
+
+
+@query(rf"""WITH {_GIVEN}, t AS (SELECT DISTINCT id, lower(text) AS low FROM parsed_content WHERE text IS NOT NULL)
+SELECT DISTINCT t.id, p.id AS entity_id FROM t JOIN p ON contains({_framed.format('low')}, {_framed.format('lower(name)')})""")
 def theta_entity_mention(spark: SparkSession, sf: str) -> DataFrame:
-    names = table(spark, sf, "entity_registry").where(F.lower(F.trim("entity_type")).isin("person", "organisation")).select(F.col("id").alias("entity_id"), "raw_value")
-    return matching.mentions(table(spark, sf, "documents"), "doc_id", "text", names, "entity_id", "raw_value")
+    """Which mails and notes hold which given names of the registry, as whole words."""
+    names = _given_names(spark, sf).withColumnRenamed("id", "entity_id")
+    return matching.mentions(stats.repeated_once(table(spark, sf, "parsed_content")), "id", "text", names, "entity_id", "raw_value")
 
 
 @query(f"""WITH {V.INSIGHTS}, s AS (SELECT case_id, min(created_at) AS a, CASE WHEN case_id NOT LIKE '%7' THEN max(created_at) END AS b FROM cost_logs WHERE case_id IS NOT NULL GROUP BY 1)
@@ -238,12 +248,12 @@ def interval_overlap(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query("""WITH f AS (SELECT DISTINCT lower(trim(entity_type)) AS entity_type, trim(raw_value) AS value FROM entity_registry),
-r AS (SELECT lower(trim(entity_type)) AS t, lower(trim(normalised_value)) AS v, min((display_name, anonymise_in_prompts, placeholder_name)) AS x FROM entity_registry WHERE confirmed GROUP BY 1, 2)
-SELECT f.entity_type, value, count(r.t) > 0 AS known FROM f LEFT JOIN r ON r.t = f.entity_type AND r.v = lower(trim(value)) GROUP BY 1, 2""")
+r AS (SELECT lower(trim(entity_type)) AS t, lower(trim(normalised_value)) AS v, arg_min({'d': display_name, 'a': anonymise_in_prompts, 'p': placeholder_name}, id) AS x FROM entity_registry WHERE confirmed GROUP BY 1, 2)
+SELECT f.entity_type, value, r.t IS NOT NULL AS known, CASE WHEN x.a THEN coalesce(x.p, '[' || upper(f.entity_type) || ']') ELSE coalesce(x.d, value) END AS shown FROM f LEFT JOIN r ON r.t = f.entity_type AND r.v = lower(trim(value))""")
 def lookup_registry(spark: SparkSession, sf: str) -> DataFrame:
     reg = table(spark, sf, "entity_registry")
     found = reg.select(F.lower(F.trim("entity_type")).alias("entity_type"), F.trim("raw_value").alias("value")).distinct()
-    return matching.resolve(found, reg).select("entity_type", "value", "known")
+    return matching.resolve(found, reg)
 
 
 @query("""SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
@@ -290,32 +300,31 @@ def cluster_time(spark: SparkSession, sf: str) -> DataFrame:
     return clustering.by_time(V.insights(spark, sf)).select("period", "n", F.round("mean_significance", 6).alias("mean_significance"), "themes")
 
 
-@query()
+@query(rf"""WITH {_GIVEN}, t AS (SELECT DISTINCT id, lower(text) AS low FROM parsed_content WHERE text IS NOT NULL),
+m AS (SELECT DISTINCT t.id, p.id AS entity_id FROM t JOIN p ON contains({_framed.format('low')}, {_framed.format('lower(name)')})) SELECT entity_id, id FROM m WHERE entity_id IN (SELECT entity_id FROM m GROUP BY 1 HAVING count(*) >= 3)""")
 def cluster_entity(spark: SparkSession, sf: str) -> DataFrame:
-    return clustering.by_entity(V.insights(spark, sf), table(spark, sf, "entity_registry"))
+    """Mails and notes by the given names they hold, of names that three of them hold; the texts stand for insights."""
+    rows = stats.repeated_once(table(spark, sf, "parsed_content")).select("id", F.col("text").alias("summary"))
+    names = _given_names(spark, sf).withColumns({"confirmed": F.lit(True), "entity_type": F.lit("person")})
+    return clustering.by_entity(rows, names)
 
 
 @query()
 def cluster_auto(spark: SparkSession, sf: str) -> DataFrame:
+    """Theme, period and entity clusters together, the best first."""
     rows = V.insights(spark, sf)
     themes = clustering.by_theme(rows).select(F.concat(F.lit("theme:"), "theme").alias("cluster"), "id")
-    periods = rows.select(F.concat(F.lit("time:"), clustering.period_key(F.col("created_at"), 30)).alias("cluster"), "id")
-    return clustering.combine(themes.unionByName(periods), rows.select("id", "significance"))
-
-
-@query(rf"""WITH {V.INSIGHTS}, t AS (SELECT id, unnest(list_distinct(list_transform(themes, lambda x: lower(trim(x))))) AS w FROM insights), p AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text || ' en de size1 email'), '[^\s\p{{Z}}]+'))) AS w FROM eval_items WHERE item_id % 2 = 0),
-c AS (SELECT id, item_id, count(*) AS shared FROM t JOIN p USING (w) GROUP BY 1, 2)
-SELECT id, item_id AS pattern_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, item_id) AS r FROM c) WHERE r = 1""")
-def link_unclustered(spark: SparkSession, sf: str) -> DataFrame:
-    patterns = table(spark, sf, "eval_items").where("item_id % 2 = 0").select(F.col("item_id").alias("id"), F.concat("text", F.lit(" en de size1 email")).alias("summary"))
-    return clustering.link_loose(V.insights(spark, sf), patterns)
+    keyed = rows.select(clustering.period_key(F.col("created_at"), 30).alias("period"), "id")
+    periods = keyed.join(clustering.by_time(rows).select("period"), "period", "left_semi").select(F.concat(F.lit("time:"), "period").alias("cluster"), "id")
+    named = clustering.by_entity(rows, table(spark, sf, "entity_registry")).select(F.concat(F.lit("entity:"), F.col("entity_id").cast("string")).alias("cluster"), "id")
+    return clustering.combine(themes.unionByName(periods).unionByName(named), rows.select("id", "significance"))
 
 
 @query(rf"""WITH {V.INSIGHTS}, t AS (SELECT id, unnest(list_distinct(list_transform(themes, lambda x: lower(trim(x))))) AS w FROM insights), p AS (SELECT item_id, unnest(list_distinct(regexp_extract_all(lower(text || ' en de size1 email'), '[^\s\p{{Z}}]+'))) AS w FROM eval_items),
 c AS (SELECT id, item_id, count(*) AS shared FROM t JOIN p USING (w) GROUP BY 1, 2)
 SELECT id, item_id AS pattern_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY shared DESC, item_id) AS r FROM c) WHERE r = 1""")
-def link_unclustered_all(spark: SparkSession, sf: str) -> DataFrame:
-    """Each insight and its nearest of all patterns; link_unclustered has those of even id only."""
+def link_unclustered(spark: SparkSession, sf: str) -> DataFrame:
+    """Each insight and its nearest of all patterns."""
     patterns = table(spark, sf, "eval_items").select(F.col("item_id").alias("id"), F.concat("text", F.lit(" en de size1 email")).alias("summary"))
     return clustering.link_loose(V.insights(spark, sf), patterns)
 
@@ -358,20 +367,27 @@ def run_lineage(spark: SparkSession, sf: str) -> DataFrame:
     return graph.lineage(table(spark, sf, "entity_registry"), "id", "merged_into_id")
 
 
-@query(f"""WITH {V.SENTIMENT} SELECT strftime(said_at, '%Y-%m-%d %H:%M:%S.%f') AS "at", 'sentiment' AS kind, {_label} AS detail FROM sentiment WHERE entity_id = 8 ORDER BY 1 DESC, detail LIMIT 100""")
+@query(f"""WITH {V.SENTIMENT}, r AS (SELECT strftime(said_at, '%Y-%m-%d %H:%M:%S.%f') AS "at", 'sentiment' AS kind, {_label} AS detail FROM sentiment WHERE entity_id = 8
+  UNION ALL SELECT strftime(first_seen_at AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M:%S.%f'), 'relationship', 'met:' || entity_b_id FROM entity_co_occurrences WHERE entity_a_id = 8)
+SELECT "at", kind, detail FROM r ORDER BY 1 DESC, kind, detail LIMIT 100""")
 def entity_timeline(spark: SparkSession, sf: str) -> DataFrame:
-    rows = V.sentiment(spark, sf).withColumn("label", stats.sentiment_label(F.col("score")))
-    none = rows.limit(0).select(F.col("entity_id").alias("src"), F.col("entity_id").alias("dst"), F.lit("x").alias("relationship_type"), "at")
-    return graph.entity_timeline(rows, none, 8).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+    rows = V.sentiment(spark, sf).withColumns({"label": stats.sentiment_label(F.col("score")), "at": F.col("at").cast("timestamp")})
+    met = table(spark, sf, "entity_co_occurrences").select(F.col("entity_a_id").alias("src"), F.col("entity_b_id").alias("dst"), F.lit("met").alias("relationship_type"), F.col("first_seen_at").cast("timestamp").alias("at"))
+    return graph.entity_timeline(rows, met, 8).withColumn("at", F.date_format("at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
 
 
-@query("""WITH m AS (SELECT lower(trim(entity_type)) AS t, coalesce(trim(normalised_value), '') AS v, unnest(source_types) AS s, occurrence_count, first_seen_at, last_seen_at, id FROM entity_registry),
-a AS (SELECT lower(trim(entity_type)) AS t, coalesce(trim(normalised_value), '') AS v, CAST(sum(occurrence_count) AS BIGINT) AS n, min(first_seen_at) AS f, max(last_seen_at) AS l FROM entity_registry GROUP BY 1, 2)
-SELECT a.t AS entity_type, a.v AS value, n AS occurrence_count, coalesce((SELECT string_agg(DISTINCT s, ',' ORDER BY s) FROM m WHERE m.t = a.t AND m.v = a.v), '') AS source_types FROM a""")
+@query("""WITH m AS (SELECT lower(trim(entity_type)) AS t, coalesce(trim(normalised_value), '') AS v, occurrence_count AS n, source_types AS s FROM entity_registry
+  UNION ALL SELECT lower(trim(e.entity_type)), coalesce(trim(e.normalised_value), ''), 1, ['insight:' || coalesce(mention_type, 'unknown')] FROM entity_insight_links l JOIN entity_registry e ON e.id = l.entity_id),
+u AS (SELECT t, v, string_agg(DISTINCT x, ',' ORDER BY x) AS s FROM (SELECT t, v, unnest(s) AS x FROM m) GROUP BY 1, 2)
+SELECT m.t AS entity_type, m.v AS value, CAST(sum(m.n) AS BIGINT) AS occurrence_count, coalesce(any_value(u.s), '') AS source_types FROM m LEFT JOIN u ON u.t = m.t AND u.v = m.v GROUP BY 1, 2""")
 def upsert_accumulate(spark: SparkSession, sf: str) -> DataFrame:
-    """The registry by type and normalised value, as if each row had been registered."""
-    reg = table(spark, sf, "entity_registry").select(F.lower(F.trim("entity_type")).alias("entity_type"), F.coalesce(F.trim("normalised_value"), F.lit("")).alias("value"), "occurrence_count", F.coalesce("source_types", F.array().cast("array<string>")).alias("source_types"), "first_seen_at", "last_seen_at")
-    out = mutations.upsert_accumulate(reg, reg.limit(0), ["entity_type", "value"])
+    """The registry by type and normalised value, and every mention of an insight added to it as a sighting."""
+    kind, value = F.lower(F.trim("entity_type")).alias("entity_type"), F.coalesce(F.trim("normalised_value"), F.lit("")).alias("value")
+    reg = table(spark, sf, "entity_registry")
+    base = reg.select(kind, value, "occurrence_count", F.coalesce("source_types", F.array().cast("array<string>")).alias("source_types"), "first_seen_at", "last_seen_at")
+    links = table(spark, sf, "entity_insight_links").where("entity_id is not null").select(F.col("entity_id").alias("id"), F.concat(F.lit("insight:"), F.coalesce("mention_type", F.lit("unknown"))).alias("source"), "created_at")
+    seen = mutations.sightings(links.join(reg.select("id", kind, value), "id"), ["entity_type", "value"], "source", "created_at")
+    out = mutations.upsert_accumulate(base, seen, ["entity_type", "value"])
     return out.select("entity_type", "value", "occurrence_count", F.array_join("source_types", ",").alias("source_types"))
 
 
@@ -491,10 +507,19 @@ def syntheses_related(spark: SparkSession, sf: str) -> DataFrame:
     return patterns.related(rows)
 
 
-@query(f"""WITH {V.INSIGHTS} SELECT 'insight' AS source, id, significance * 0.5 AS significance, CAST(0.3 AS DOUBLE) AS confidence FROM insights ORDER BY insights.significance DESC, id LIMIT 3""")
+@query(f"""WITH {V.INSIGHTS} SELECT 'pattern' AS source, id, confidence * 0.7 AS significance, CAST(0.4 AS DOUBLE) AS confidence FROM insights WHERE insight_type = 'pattern'""")
 def emerging_themes(spark: SparkSession, sf: str) -> DataFrame:
+    """Insights of the type pattern stand for patterns."""
+    rows = V.insights(spark, sf)
+    found = rows.where("insight_type = 'pattern'").select("id", "summary", F.col("confidence").alias("strength"))
+    return patterns.emerging(found, rows).select("source", "id", "significance", "confidence")
+
+
+@query(f"""WITH {V.INSIGHTS} SELECT 'insight' AS source, id, significance * 0.5 AS significance, CAST(0.3 AS DOUBLE) AS confidence FROM insights ORDER BY insights.significance DESC, id LIMIT 3""")
+def emerging_insights(spark: SparkSession, sf: str) -> DataFrame:
+    """What emerges while no pattern has been found yet: the three most significant insights."""
     rows = V.insights(spark, sf)
-    none = rows.limit(0).select("id", "summary", F.lit(0.0).alias("strength"))
+    none = spark.createDataFrame([], "id long, summary string, strength double")
     return patterns.emerging(none, rows).select("source", "id", "significance", "confidence")
 
 

@@ -62,6 +62,7 @@ def prompt_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_case_tracker, src_generic_chat, conv_prepare, csv_bank, src_adapter, prompt_replies)}
 ORACLES = {
+    "prompt_replies": r"SELECT doc_id, 0 AS ordinal, trim(regexp_replace(text, '\s+', ' ', 'g')) AS summary FROM documents WHERE trim(coalesce(text, '')) <> '' AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''",
     "stream_daily_counts": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_case_tracker": "SELECT CAST(user_id AS VARCHAR) AS case_id, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1",
     "src_adapter": "SELECT doc_id FROM documents WHERE source = 'email' AND created_at >= TIMESTAMPTZ '2025-02-01 00:00:00+00'",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from weftwork.plans import analytics, flows, general, signals, texts
+from weftwork.plans import analytics, files, flows, general, signals, texts
 
-MODULES = [general, signals, texts, analytics, flows]
+MODULES = [general, signals, texts, analytics, flows, files]
 
 
 def queries() -> dict:

@@ -62,7 +62,8 @@ def t0_json(spark: SparkSession, sf: str) -> DataFrame:
     columns = [c for c in out.columns if c not in ("doc_id", "text", "lang")]
     packed = out.select("doc_id", F.struct(*columns).alias("s")).withColumn("json", F.to_json("s"))
     kind = packed.schema["s"].dataType
-    return packed.withColumn("back", F.from_json("json", kind)).select("doc_id", "json", F.col("s").eqNullSafe(F.col("back")).alias("round_trip"))
+    told = [F.get_json_object("json", f"$.{c}").alias(c) for c in ("word_count", "char_count", "question_count", "high_emotion")]
+    return packed.withColumn("back", F.from_json("json", kind)).select("doc_id", *told, F.col("s").eqNullSafe(F.col("back")).alias("round_trip"))
 
 
 def t0_low_confidence(spark: SparkSession, sf: str) -> DataFrame:
@@ -160,7 +161,15 @@ SELECT coalesce(lang, '?') AS lang, count(*) AS documents, CAST(sum(w) AS BIGINT
     "t0_structure": BASE + f"SELECT doc_id, {_paragraphs} AS paragraph_count, len({_lengths}) AS sentence_count, CASE WHEN len({_lengths}) > 0 THEN round(CAST(list_sum({_lengths}) AS DOUBLE) / len({_lengths}), 1) ELSE 0.0 END AS avg_sentence_length, CAST(coalesce(list_max({_lengths}), 0) AS BIGINT) AS longest_sentence, {_speakers} AS speaker_changes FROM b",
     "t0_flags": BASE + f"SELECT doc_id, {_flags} FROM b",
     "t0_emails": BASE + f"SELECT doc_id, {sql_first([sql_all(L.EMAIL)], 20, True)} AS emails FROM b",
+    "t0_email_domains": BASE + f"SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split({sql_first([sql_all(L.EMAIL)], 20, True)}, '|'), lambda e: split_part(e, '@', 2)), lambda x: x <> ''))), '|') AS domains FROM b",
     "t0_phones": BASE + "SELECT doc_id, " + sql_first(["list_transform(list_concat(" + ", ".join(sql_all(p, 0, "") for p in L.PHONES) + r"), lambda p: regexp_replace(p, '[\s\-()]', '', 'g'))"], 20) + " AS phones FROM b",
+    "t0_json": BASE + f", f AS (SELECT doc_id, len(words) AS w, length(t) AS c, len({_questions}) AS k, {_flags} FROM b) SELECT doc_id, CAST(w AS VARCHAR) AS word_count, CAST(c AS VARCHAR) AS char_count, CAST(k AS VARCHAR) AS question_count, CAST(high_emotion AS VARCHAR) AS high_emotion, TRUE AS round_trip FROM f",
+    "t0_summary": BASE + f""", f AS (SELECT doc_id, {sql_whole(_keywords)} AS k, list_sort(list_filter([{_categories}], lambda x: x IS NOT NULL)) AS g, {_flags}, {_temporal_sql("past")} AS p, {_exclaim} AS e, {sql_whole(L.ABSOLUTES)} AS a, {_inquiry} AS i FROM b),
+l AS (SELECT doc_id, array_to_string(list_filter([CASE WHEN len(k) > 0 THEN '- Emotion keywords: ' || array_to_string(k[1:5], ', ') END, CASE WHEN len(g) > 0 THEN '- Emotion categories: ' || array_to_string(g[1:3], ', ') END,
+  CASE WHEN high_emotion OR self_reflective OR narrative OR analytical THEN '- Flags: ' || array_to_string(list_filter([CASE WHEN high_emotion THEN 'high emotion' END, CASE WHEN self_reflective THEN 'self reflective' END, CASE WHEN narrative THEN 'narrative' END, CASE WHEN analytical THEN 'analytical' END], lambda x: x IS NOT NULL), ', ') END,
+  CASE WHEN len(p) > 0 THEN '- Past references: ' || array_to_string(p[1:3], ', ') END, CASE WHEN e >= 2 THEN '- High exclamation count: ' || e END, CASE WHEN len(a) > 0 THEN '- Absolute statements: ' || array_to_string(a[1:3], ', ') END,
+  CASE WHEN i >= 1 THEN '- Self-inquiry questions: ' || i END], lambda x: x IS NOT NULL), chr(10)) AS s FROM f)
+SELECT doc_id, CASE WHEN s = '' THEN 'No significant signals detected.' ELSE s END AS signal_summary FROM l""",
     "t0_dates": BASE + f"SELECT doc_id, {sql_first([sql_all(p, 1) for p in L.DATES], 20)} AS dates FROM b",
     "t0_times": BASE + f"SELECT doc_id, {sql_first([sql_all(p, 1) for p in L.TIMES], 20, True)} AS times FROM b",
     "t0_currency": BASE + f"SELECT doc_id, {sql_first([sql_all(p, 1) for p in L.CURRENCY], 20)} AS amounts FROM b",

@@ -38,7 +38,7 @@ def injection_detect(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def secrets_sanitise(spark: SparkSession, sf: str) -> DataFrame:
-    made = F.concat(F.lit("token="), F.sha2(F.col("text"), 256), F.lit(" Bearer "), F.sha2(F.col("text"), 224), F.lit(" "), F.col("text"))
+    made = F.concat(F.lit("token="), F.sha2(F.col("text"), 256), F.lit(" Bearer "), F.md5(F.col("text")), F.lit(" "), F.col("text"))
     return _docs(spark, sf).select("doc_id", F.sha2(S.without_secrets(made), 256).alias("clean_hash"))
 
 
@@ -79,17 +79,18 @@ def chunk_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_replies(spark: SparkSession, sf: str) -> DataFrame:
-    """Model replies (made from the documents here, fenced, some broken) read as insights, with defaults and filters."""
-    body = F.to_json(F.struct(F.array(F.struct(F.substring("text", 1, 80).alias("summary"), ((F.col("doc_id") % 10) / 10).alias("significance"), F.array(F.lit("Work"), F.lit("home ")).alias("themes"))).alias("insights")))
-    reply = F.when(F.col("doc_id") % 7 == 0, F.lit("no json {")).otherwise(F.concat(F.lit("```json\n"), body, F.lit("\n```")))
-    return replies.parse_insights(_docs(spark, sf).withColumn("reply", reply), "reply").select("doc_id", "ordinal", "summary", "significance", "confidence", "insight_type", F.array_join("themes", "|").alias("themes"))
+    """Model replies read as insights, with defaults and filters: one a document, fenced, an insight a paragraph, and a broken one beside each."""
+    said = F.transform(F.split("text", "\n\n"), lambda p: F.struct(p.alias("summary"), F.least(F.lit(1.0), F.length(p) / F.lit(400.0)).alias("significance"), F.array(F.lit("Work"), F.lit("home ")).alias("themes")))
+    good = F.concat(F.lit("```json\n"), F.to_json(F.struct(said.alias("insights"))), F.lit("\n```"))
+    rows = _docs(spark, sf).select("doc_id", F.explode(F.array(good, F.lit("no json {"))).alias("reply"))
+    return replies.parse_insights(rows, "reply").select("doc_id", "ordinal", "summary", "significance", "confidence", "insight_type", F.array_join("themes", "|").alias("themes"))
 
 
-COMMANDS = [("remove", r"\b(?:remove|exclude|drop|quietly dropped)\b\s+(\w+)"), ("show", r"\b(?:show|open|shared)\b\s+(?:the\s+)?(\w+)"), ("count", r"how\s+many\s+(\w+)"), ("find", r"\b(?:find|search|looking)\b\s+(\w+)")]
+COMMANDS = [("remove", r"\b(?:remove|exclude|drop|delete)\w*\s+(\w+)"), ("show", r"\b(?:show|open|list|display)\w*\s+(?:the\s+)?(\w+)"), ("count", r"how\s+many\s+(\w+)"), ("find", r"\b(?:find|search|look)\w*\s+(\w+)")]
 
 
 def intent_classify(spark: SparkSession, sf: str) -> DataFrame:
-    """The first command that a text gives, and what it is about."""
+    """The first command that a text gives, and what it is about; the table of commands is the caller's."""
     t = F.col("text")
     return _docs(spark, sf).select("doc_id", rules.first_match(t, COMMANDS, "none").alias("intent"), rules.captured(t, COMMANDS).alias("about"))
 
@@ -148,7 +149,7 @@ ORACLES = {
     "pii_counts": _D + "SELECT doc_id, " + ", ".join("+".join(_n(p, c) for k, p, c in S.PII if k == kind) + f" AS {kind}" for kind in _kinds) + " FROM d",
     "injection_detect": _D + f", m AS (SELECT doc_id, {_inj_n} AS matches, CASE WHEN {_level} = 0 AND {_together} THEN 1 ELSE {_level} END AS level FROM d) SELECT doc_id, matches, ['none', 'low', 'medium', 'high', 'critical'][level + 1] AS risk, CAST(CASE WHEN matches > 0 THEN least(0.9::DOUBLE, 0.3::DOUBLE + matches * 0.15::DOUBLE) WHEN level > 0 THEN 0.3 ELSE 0.0 END AS DOUBLE) AS confidence FROM m",
     "html_strip": _D + "SELECT doc_id, trim(" + _chain(_page, [(r"(?is)<script\b[^>]*>.*?</script>", " "), (r"(?is)<style\b[^>]*>.*?</style>", " "), (r"<[^>]+>", " "), ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"), (r"\s+", " ")]) + ") AS plain FROM d",
-    "pdf_clean": _D + "SELECT doc_id, " + _chain("regexp_replace(text, ', ', ',-' || chr(10), 'g')", [(r"-\n([a-zA-Z0-9_])", r"\1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]) + " AS clean FROM d",
+    "pdf_clean": _D + "SELECT doc_id, " + _chain("regexp_replace(text, ', ', ',-' || chr(10), 'g')", [(r"-\n([\p{L}\p{N}_])", r"\1"), (r"[ \t]+", " "), (r"\n{3,}", "\n\n")]) + " AS clean FROM d",
     "content_hash": _D + r"SELECT sha256(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS hash, min(doc_id) AS first_doc, count(*) AS copies FROM d GROUP BY 1",
     "doc_truncate": _D + r", c AS (SELECT doc_id, CASE WHEN length(text) > 500 THEN substring(text, 1, 500) || chr(10) || chr(10) || '[... content truncated ...]' ELSE text END AS t FROM d) SELECT doc_id, length(t) AS chars, sha256(t) AS hash FROM c",
     "normalise_values": r"""
@@ -157,7 +158,8 @@ SELECT id, CASE lower(trim(entity_type))
   WHEN 'email' THEN lower(trim(raw_value))
   ELSE array_to_string(list_transform(regexp_extract_all(trim(raw_value), '\p{L}+|[^\p{L}]+'), lambda p: upper(substring(p, 1, 1)) || lower(substring(p, 2))), '') END AS normalised
 FROM entity_registry""",
-    "parse_replies": _D + """
-SELECT doc_id, CAST(0 AS INTEGER) AS ordinal, substring(text, 1, 80) AS summary, CAST((doc_id % 10) / 10 AS DOUBLE) AS significance, CAST(0.5 AS DOUBLE) AS confidence, 'observation' AS insight_type, 'Work|home' AS themes
-FROM d WHERE doc_id % 7 <> 0 AND trim(substring(text, 1, 80)) <> '' AND (doc_id % 10) / 10 >= 0.2""",
+    "parse_replies": _D + """, p AS (SELECT doc_id, unnest(string_split(text, chr(10) || chr(10))) AS summary, generate_subscripts(string_split(text, chr(10) || chr(10)), 1) - 1 AS o FROM d)
+SELECT doc_id, CAST(o AS INTEGER) AS ordinal, summary, least(1.0::DOUBLE, length(summary) / 400.0::DOUBLE) AS significance, CAST(0.5 AS DOUBLE) AS confidence, 'observation' AS insight_type, 'Work|home' AS themes
+FROM p WHERE trim(summary) <> '' AND length(summary) / 400.0::DOUBLE >= 0.2""",
+    "secrets_sanitise": _D + "SELECT doc_id, sha256(" + _secrets("'token=' || sha256(text) || ' Bearer ' || md5(text) || ' ' || text") + ") AS clean_hash FROM d",
 }

@@ -13,9 +13,8 @@ STAMPS = ["d/M/yyyy H:mm", "d/M/yyyy H:mm:ss", "d/M/yy H:mm", "d/M/yy H:mm:ss",
 
 def format_of(content: Column) -> Column:
     """sms_xml, json, whatsapp, generic or null, of a message file's text."""
-    head = F.substring(content, 1, 500)
     return (
-        F.when(head.contains("<smses") | head.contains("SMS Backup & Restore"), "sms_xml")
+        F.when(content.rlike(r"<smses\b|SMS Backup & Restore"), "sms_xml")
         .when(F.trim(content).rlike(r"^[\[{]") & F.try_parse_json(content).isNotNull(), "json")
         .when(content.rlike(WHATSAPP), "whatsapp").when(content.rlike(GENERIC), "generic")
         .when(content.contains("Messages and calls are end-to-end encrypted") | content.contains("Media omitted") | content.contains("<attached:"), "whatsapp")

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import email
 import email.policy
-import mailbox
-import os
-import tempfile
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -34,18 +32,20 @@ def message_row(path: str, ordinal: int, m) -> tuple:
     return path, ordinal, "\n".join(plain) or None, "\n".join(html) or None, head("from"), people, head("subject"), head("date"), head("message-id"), head("in-reply-to"), files
 
 
+#: A line that opens a message of a box: at its start or after an empty line.
+_OPENS = re.compile(rb"(?:\A|(?<=\n\n)|(?<=\r\n\r\n))From [^\n]*\n")
+_SHIELDED = re.compile(rb"(?m)^>(>*From )")
+
+
 def messages_in(path: str, content: bytes) -> Iterator[tuple]:
+    """The messages of a file; a box is cut at its "From " lines, in memory, and lines that its writer shielded get their form back."""
+    parts = [content]
     if path.lower().endswith(".mbox"):
-        handle, at = tempfile.mkstemp(suffix=".mbox")  # the parser wants a file; it lives as long as this call
-        try:
-            with os.fdopen(handle, "wb") as f:
-                f.write(content)
-            for k, m in enumerate(mailbox.mbox(at)):
-                yield message_row(path, k, m)
-        finally:
-            os.unlink(at)
-    else:
-        yield message_row(path, 0, email.message_from_bytes(content, policy=email.policy.default))
+        starts = [m.span() for m in _OPENS.finditer(content)]
+        ends = [a for a, _ in starts[1:]] + [len(content)]
+        parts = (_SHIELDED.sub(rb"\1", content[b:z]) for (_, b), z in zip(starts, ends))
+    for k, part in enumerate(parts):
+        yield message_row(path, k, email.message_from_bytes(part, policy=email.policy.default))
 
 
 def read_mail(files: DataFrame) -> DataFrame:
