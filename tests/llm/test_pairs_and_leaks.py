@@ -51,7 +51,7 @@ def test_registered_pairs_are_all_pairs(spark, tmp_path):
     # one shared insight is enough, and so is a lift under 4
     rows = [(1, "s1"), (2, "s1"), (2, "s1"), (1, "s2"), (3, "s2"), (2, "s3"), (1, "s4"), (3, "s4"), (None, "s1"), (3, None)]
     links(spark, rows).write.parquet(str(tmp_path / "entity_insight_links.parquet"))
-    got = {(x.entity_a_id, x.entity_b_id): (x["count"], round(x.lift, 9), x.source_ids_json) for x in queries.QUERIES["p7_all_co_occurrences"](spark, str(tmp_path)).collect()}
+    got = {(x.entity_a_id, x.entity_b_id): (x["count"], round(x.lift, 9), x.source_ids_json) for x in queries.QUERIES["p7_co_occurrences"](spark, str(tmp_path)).collect()}
     assert got == {(1, 2): (1, round(4 / 6, 9), '["insight:s1"]'), (1, 3): (2, round(8 / 6, 9), '["insight:s2","insight:s4"]')}
 
 

@@ -59,16 +59,17 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_co_occurrences(spark: SparkSession, sf: str) -> DataFrame:
+    """All pairs that share an insight, whatever their count and lift, with their sources."""
+    return pairing.all_with_sources(table(spark, sf, "entity_insight_links"))
+
+
+def p7_attracted(spark: SparkSession, sf: str) -> DataFrame:
+    """The pairs of p7_found with their sources."""
     links = table(spark, sf, "entity_insight_links")
     pairs = pairing.attracted(pairing.co_occurrence(links, min_shared=5))
     return pairing.with_sources(pairs, links)
 
 
-def p7_all_co_occurrences(spark: SparkSession, sf: str) -> DataFrame:
-    """All pairs, whatever their count and lift; p7_co_occurrences has those of p7_found only."""
-    return pairing.all_with_sources(table(spark, sf, "entity_insight_links"))
-
-
 def p8_leaks(spark: SparkSession, sf: str) -> DataFrame:
     """Documents and items with a template in common, slots checked; numbers of any length are one slot."""
     met = leakage.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"), merge=True)
@@ -104,7 +105,7 @@ QUERIES = {
     "p2_found": p2_found, "p2_pieces": p2_pieces,
     "p3_found": p3_found, "p3_entities": p3_entities,
     "p5_found": p5_found, "p5_new_text": p5_new_text,
-    "p7_found": p7_found, "p7_co_occurrences": p7_co_occurrences, "p7_all_co_occurrences": p7_all_co_occurrences,
+    "p7_found": p7_found, "p7_co_occurrences": p7_co_occurrences, "p7_attracted": p7_attracted,
     "p8_found": p8_found, "p8_leaks": p8_leaks,
     "p9_mix": p9_mix, "p9_shares": p9_shares,
     "p10_found": p10_found, "p10_coverage": p10_coverage,
@@ -138,8 +139,8 @@ ORACLES = {
 SELECT id, CASE WHEN max(list_max(list_transform(regexp_split_to_array(content, '\s+'), lambda w: length(w)))) > 2000 THEN 'forced' ELSE 'natural' END AS cut
 FROM document_chunks WHERE length(regexp_replace(content, '^\s+|\s+$', '', 'g')) > 2000 GROUP BY id""",
     "p7_found": _P7 + "SELECT entity_a_id, entity_b_id FROM found",
-    "p7_co_occurrences": _P7 + "SELECT entity_a_id, entity_b_id, shared AS count, source_ids_json, lift FROM found",
-    "p7_all_co_occurrences": _P7_ALL,
+    "p7_attracted": _P7 + "SELECT entity_a_id, entity_b_id, shared AS count, source_ids_json, lift FROM found",
+    "p7_co_occurrences": _P7_ALL,
     "p8_found": r"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents WHERE text IS NOT NULL),
 dw AS (SELECT doc_id, array_to_string(w[i : i + 11], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS i FROM d WHERE len(w) >= 12)),
@@ -151,4 +152,14 @@ WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
 w AS (SELECT doc_id, hash(substring(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)),
 k AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id))
 SELECT DISTINCT doc_id FROM w JOIN k USING (h)""",
+    # windows of 200 that another document has too: each covers 200 characters, or as many as lie before the next one
+    "p10_coverage": """
+WITH d AS (SELECT doc_id, text FROM documents WHERE length(text) >= 200),
+w AS (SELECT doc_id, i, hash(substring(text, i, 200)) AS h FROM (SELECT doc_id, text, unnest(range(1, length(text) - 198)) AS i FROM d)),
+k AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+s AS (SELECT DISTINCT doc_id, i FROM w JOIN k USING (h)),
+g AS (SELECT doc_id, least(200, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 200)) AS covered, CASE WHEN i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 1 ELSE 0 END AS apart FROM s),
+c AS (SELECT doc_id, CAST(sum(covered) AS BIGINT) AS shared_chars, CAST(sum(apart) + 1 AS BIGINT) AS spans FROM g GROUP BY 1)
+SELECT doc_id, length(text) AS n_chars, coalesce(shared_chars, 0) AS shared_chars, coalesce(spans, 0) AS spans, CASE WHEN length(text) > 0 THEN CAST(coalesce(shared_chars, 0) AS DOUBLE) / length(text) ELSE 0.0 END AS share
+FROM documents LEFT JOIN c USING (doc_id)""",
 }
