@@ -57,11 +57,16 @@ def test_entities(spark):
     assert "2024-01-15" in r.s[0]["context"]
 
 
-def test_people():
-    stop = frozenset(L.NOT_NAMES)
-    got = {p["name"]: p["confidence"] for p in signals.find_people("The day Dr. Sarah Smith met John Brown. Mum was there. Then Kevin left with Marcus: Alice said no.", stop)}
-    assert got == {"Dr Sarah Smith": "high", "John Brown": "high", "Mum": "high", "Kevin": "medium", "Marcus": "medium", "Alice": "low"}
-    assert signals.find_people("", stop) == [] and signals.find_people("Dr met Sarah Smith", stop, frozenset(["sarah smith"])) == []
+def test_people(spark):
+    texts = ["The day Dr. Sarah Smith met John Brown. Mum was there. Then Kevin left with Marcus: Alice said no.", "", None, "Dr met Sarah Smith", "Running Management helps Tarn Trust vs. Bergmann. NASA too."]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string")
+    got = {r.k: {p.name: p.confidence for p in r.p} for r in df.select("k", signals.people(F.coalesce("t", F.lit(""))).alias("p")).collect()}
+    assert got[0] == {"Dr Sarah Smith": "high", "John Brown": "high", "Mum": "high", "Kevin": "medium", "Marcus": "medium", "Alice": "low"}
+    assert got[1] == {} and got[2] == {} and got[3] == {"Sarah Smith": "high"} and got[4] == {"Tarn": "medium", "Bergmann": "medium"}
+    none = df.where("k = 3").select(signals.people(F.col("t"), blacklist=("sarah smith",)).alias("p")).first().p
+    assert none == []
+    many = spark.createDataFrame([(" and ".join(f"met Al{chr(97 + k)}x Bo{chr(97 + k)}x" for k in range(20)),)], "t string")
+    assert [len(many.select(signals.people(F.col("t"), cap=c).alias("p")).first().p) for c in (15, None)] == [15, 20]
 
 
 def test_person_confidence(spark):

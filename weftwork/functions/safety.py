@@ -21,7 +21,7 @@ PII = [
     ("date_of_birth", r"\b(?:dob|date\s+of\s+birth|born)[:\s]+\d{1,2}[/\-]\d{1,2}[/\-]\d{2,4}\b", True), ("bank_account", r"\b(?:account|acct)[#:\s]+\d{8,17}\b", True),
     ("passport", r"\b(?:passport)[#:\s]+[A-Z0-9]{9}\b", True), ("drivers_license", r"\b(?:dl|driver'?s?\s+license)[#:\s]+[A-Z0-9]{5,15}\b", True),
 ]
-# (name, risk 1 low to 4 critical, pattern, case ignored).
+# (name, risk 1 low to 4 critical, pattern, case ignored). Groups do not capture: a match counts as a whole, and regexp_extract_all would give a group.
 INJECTION = [
     ("instruction_override", 3, r"ignore\s+(?:all\s+)?(?:previous|prior|above)\s+instructions?", True), ("instruction_disregard", 3, r"disregard\s+(?:all\s+)?(?:previous|prior|above)", True),
     ("memory_wipe", 3, r"forget\s+(?:everything|all|what)\s+(?:you|i)\s+(?:said|told|know)", True), ("mode_switch", 4, r"you\s+are\s+now\s+(?:in\s+)?(?:developer|admin|sudo|root|god)\s+mode", True),
@@ -36,7 +36,7 @@ INJECTION = [
 ]
 COMBINED = [r"\b(?:important|critical|urgent|must|always)\b", r"\b(?:override|bypass|ignore|skip|disable)\b", r"\b(?:secret|hidden|internal|private)\b"]
 RISKS = ["none", "low", "medium", "high", "critical"]
-# (pattern, replacement in the dialect of java.util.regex).
+# (pattern, replacement in the dialect of java.util.regex). No key matches both of the first two.
 SECRETS = [
     (r"sk-ant-[a-zA-Z0-9\-]{20,}", "[ANTHROPIC_KEY]"), (r"sk-[a-zA-Z0-9]{20,}", "[OPENAI_KEY]"), (r"(?i)api[_-]?key\s*[:=]\s*[\"']?([a-zA-Z0-9\-_]{20,})[\"']?", "api_key=[REDACTED]"),
     (r"(?i)Bearer\s+[a-zA-Z0-9\-_\.]{20,}", "Bearer [REDACTED]"), (r"(?i)(password|passwd|pwd)\s*[:=]\s*[\"']?[^\s\"']+[\"']?", "$1=[REDACTED]"),

@@ -14,6 +14,11 @@ def lit_array(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
 
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` worked out once, however often ``use`` names it: it is bound as the one element of an array."""
+    return F.transform(F.array(value), use)[0]
+
+
 def words(text: Column) -> Column:
     """Runs without white space, Unicode white space included."""
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))

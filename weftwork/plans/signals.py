@@ -42,7 +42,7 @@ def t0_flagship(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t0_people(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf).withColumn("p", S.people()("text"))
+    docs = _docs(spark, sf).withColumn("p", S.people(F.coalesce("text", F.lit(""))))
     return docs.select("doc_id", F.explode("p").alias("p")).select("doc_id", F.col("p.name").alias("name"), F.col("p.confidence").alias("confidence"))
 
 
@@ -67,7 +67,7 @@ def t0_json(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def t0_low_confidence(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf).withColumn("p", S.low_confidence(S.people()("text")))
+    docs = _docs(spark, sf).withColumn("p", S.low_confidence(S.people(F.coalesce("text", F.lit("")))))
     return docs.select("doc_id", F.explode("p.name").alias("name"))
 
 
