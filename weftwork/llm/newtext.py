@@ -58,7 +58,7 @@ BOILERPLATE = [
     r"(?i)(environment|planet|forest|trees?|umwelt|environnement|medio ambiente)\b.*(print|druck|imprim)",
 ]
 #: A sentence: ends like one, and has five words at least, and if there are figures in it three that begin small (an address has none); or a line so long that no signature has it.
-PROSE, SMALL, PROSE_CHARS = r"^\S*(\s+\S+){4,}.*[.!?…]['\")”»]*\s*$", r"(\s\p{Ll}\S*.*){3}", 120
+ENDS, FIVE_WORDS, SMALL, PROSE_CHARS = r"[.!?…]['\")”»]*\s*$", r"^\s*\S+(?:\s+\S+){4}", r"(?:\s\p{Ll}\S*.*){3}", 120
 
 
 #: Bits of a line's marks.
@@ -107,7 +107,7 @@ def _marked(lines: DataFrame) -> DataFrame:
     bare = F.regexp_replace("_norm", r"[\s,.;:!\-–—]+$", "")
     holds_at, wrote_word, short = line.contains("@"), line.rlike(WROTE), F.length(line) <= 60
     marks_of = [F.when(line.rlike(p), 1).otherwise(0) for p in LEGAL]
-    disclaims = (sum(marks_of[1:], marks_of[0]) >= 2) | line.rlike(BOILERPLATE[0]) | line.rlike(BOILERPLATE[1])
+    disclaims = (F.length(line) > 25) & ((sum(marks_of[1:], marks_of[0]) >= 2) | line.rlike(BOILERPLATE[0]) | line.rlike(BOILERPLATE[1]))
     tests = {
         "header": line.contains(":") & line.rlike(HEADER) & (~line.rlike(PEOPLE) | holds_at), "header_from": line.contains(":") & line.rlike(HEADER_FROM), "rule": line.startswith("_") & line.rlike(RULE),
         "original": line.rlike(ORIGINAL), "delimiter": short & line.rlike(DELIMITER),
@@ -115,7 +115,7 @@ def _marked(lines: DataFrame) -> DataFrame:
         "wrote": wrote_word & (line.rlike(rf"(?i)(@.*|^\s*(on|am|le|el)\b.*\d.*){WROTE}\s*:?\s*$") | line.rlike(rf"(?i)^\s*(am|on|le|el)\b.*\d.*{WROTE}\b.*:\s*$")),
         "dated": line.rlike(r"(?i)^\s*(on|am|le|el)\s.*\d") & line.rlike(r"@|,\s*$"), "at_colon": holds_at & line.rlike(r"@\S+\s*:\s*$"), "holds_at": holds_at,
         "signs_off": short & bare.isin(CLOSINGS), "device": line.rlike(DEVICE), "disclaims": disclaims, "signature": short & line.rlike(SIGNATURE),
-        "prose": ~disclaims & ((line.rlike(PROSE) & (~line.rlike(r"\d") | line.rlike(SMALL))) | (F.length(line) > PROSE_CHARS)),
+        "prose": (F.length(line) > PROSE_CHARS) | (line.rlike(FIVE_WORDS) & line.rlike(ENDS) & (~line.rlike(r"\d") | line.rlike(SMALL))),
     }
     total = F.lit(0)
     for name, test in tests.items():
@@ -163,7 +163,7 @@ def classified(messages: DataFrame, first_author_chars: int = 40, sender_recurs:
     )
     x = x.withColumn("part", part).withColumn("content", F.col("part") == "content")
     # a closing lasts until the next sentence, or the end of its part of the message
-    prose = F.col("content") & _bit("prose")
+    prose = F.col("content") & _bit("prose") & ~_bit("disclaims")
     running = lambda c: F.sum(c.cast("int")).over(so_far)
     x = x.withColumns({"nth": running(F.col("content")), "part_no": running(~F.col("content")), "_prose": prose})
     x = x.withColumns({"told_no": running(F.col("_prose")) + F.col("part_no"), "next_prose": F.coalesce(F.lead("_prose").over(order), F.lit(False))})
