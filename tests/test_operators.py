@@ -180,5 +180,5 @@ def test_path_uses_weak_edges(spark, tmp_path):
 def test_links_reach_patterns_of_odd_id(spark, sf):
     from weftwork.plans import registry
 
-    linked = registry.queries()["link_unclustered_all"](spark, sf)
+    linked = registry.queries()["link_unclustered"](spark, sf)
     assert linked.where("pattern_id % 2 = 1").limit(1).count()
