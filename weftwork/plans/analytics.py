@@ -353,7 +353,15 @@ def network(spark: SparkSession, sf: str) -> DataFrame:
     return graph.network(_edges(spark, sf), 1, depth=2, least=5)
 
 
-@query()
+def _step(k: int) -> str:
+    """The entities first reached by k edges, each with its best path; s has them flat, a all reached so far."""
+    return f"""b{k} AS (SELECT dst AS node, min({{'o': list_append(o, -CAST(weight AS DOUBLE)), 'p': list_append(p, dst)}}) AS b FROM s{k - 1} JOIN edges ON src = node WHERE dst NOT IN (SELECT node FROM a{k - 1}) GROUP BY dst),
+s{k} AS (SELECT node, b.o AS o, b.p AS p FROM b{k}), a{k} AS (SELECT node FROM a{k - 1} UNION SELECT node FROM s{k})"""
+
+
+@query(f"""WITH {V.EDGES}, s0 AS (SELECT CAST(1 AS BIGINT) AS node, CAST([] AS DOUBLE[]) AS o, [CAST(1 AS BIGINT)] AS p), a0 AS (SELECT node FROM s0), {', '.join(_step(k) for k in (1, 2, 3, 4))},
+found AS (SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2 UNION ALL SELECT * FROM s3 UNION ALL SELECT * FROM s4)
+SELECT len(p) - 1 AS length, array_to_string(p, '>') AS path FROM found WHERE node = (SELECT max(src) FROM edges)""")
 def path_bfs(spark: SparkSession, sf: str) -> DataFrame:
     """A shortest path from entity 1 to the last one of the graph, over all edges."""
     edges = _edges(spark, sf)

@@ -61,7 +61,18 @@ def prompt_replies(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (stream_daily_counts, stream_case_tracker, src_generic_chat, conv_prepare, csv_bank, src_adapter, prompt_replies)}
+_LINE = r"^\[?(\d{4}-\d{2}-\d{2}\s*\d{2}:\d{2}(?::\d{2})?)\]?\s*([^:\n]+):\s*(.+)$"
+# a line that begins with a time and a sender opens a message; the lines after it belong to it
+_CHAT = rf"""
+WITH d AS (SELECT doc_id, replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)) AS t FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '<smses\b|SMS Backup & Restore') AND NOT coalesce(json_valid(text) AND regexp_matches(trim(text), '^[\[{{]'), FALSE)
+  AND NOT regexp_matches(text, '(?m)^\[?(\d{{1,2}}/\d{{1,2}}/\d{{2,4}},?\s*\d{{1,2}}:\d{{2}}(?::\d{{2}})?\s*(?:AM|PM|am|pm)?)\]?\s*-?\s*([^:\n]+):\s*(.+)$') AND regexp_matches(text, '(?m){_LINE}')),
+l AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS n FROM d),
+o AS (SELECT *, sum(CASE WHEN regexp_matches(line, '{_LINE}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS k FROM l),
+m AS (SELECT doc_id, k, string_agg(line, chr(10) ORDER BY n) AS m, min(line) FILTER (regexp_matches(line, '{_LINE}')) AS head FROM o WHERE k > 0 GROUP BY 1, 2)"""
+
 ORACLES = {
+    "src_generic_chat": _CHAT + rf"""
+SELECT doc_id, trim(regexp_extract(head, '{_LINE}', 2)) AS sender, trim(regexp_extract(m, '^\[?\d{{4}}-\d{{2}}-\d{{2}}\s*\d{{2}}:\d{{2}}(?::\d{{2}})?\]?\s*[^:\n]+:\s*((?s:.*))$', 1)) AS text, substring(trim(regexp_extract(head, '{_LINE}', 1)), 1, 16) AS sent_at FROM m""",
     "prompt_replies": r"SELECT doc_id, 0 AS ordinal, trim(regexp_replace(text, '\s+', ' ', 'g')) AS summary FROM documents WHERE trim(coalesce(text, '')) <> '' AND trim(regexp_replace(text, '\s+', ' ', 'g')) <> ''",
     "stream_daily_counts": "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type AS kind, count(*) AS n FROM events GROUP BY 1, 2",
     "stream_case_tracker": "SELECT CAST(user_id AS VARCHAR) AS case_id, count(*) AS events, string_agg(DISTINCT event_type, ',' ORDER BY event_type) AS kinds FROM events GROUP BY 1",
