@@ -168,6 +168,21 @@ def test_prompts(spark):
     assert {(r.id, r.round) for r in judged.collect()} == {(1, 1), (2, 0)}
 
 
+def test_replies_of_odd_white_space(spark, tmp_path):
+    import duckdb
+
+    from weftwork.plans import flows
+
+    texts = ["\n\t \n", "\r\n", "\u00a0 \u3000\n", " \u00a0", "", None, "a\x0b", "\x0b", "\x85b\x1c", "c\u00a0\u2028", "\u3000d  e\r\nf\u202f\n", "\u200bg", " Language: en\n", "```json\nh\n```", '"i" \\ {j}']
+    rows = [(k, t, [None, "en"][k % 2]) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(tuple(r) for r in flows.prompt_replies(spark, str(tmp_path)).collect())
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert got == sorted(con.execute(flows.ORACLES["prompt_replies"]).fetchall())
+    assert [r[0] for r in got] == [6, 7, 8, 9, 10, 11, 12, 13, 14]
+
+
 def test_path_uses_weak_edges(spark, tmp_path):
     from weftwork.plans import analytics
 

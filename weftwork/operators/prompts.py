@@ -22,7 +22,7 @@ class Echo:
     def generate(self, prompts: list[str]) -> list[str]:
         import json
 
-        return [json.dumps({"insights": [{"summary": p.strip().rpartition("\n")[2], "significance": 0.5, "confidence": 0.5}]}) for p in prompts]
+        return [json.dumps({"insights": [{"summary": p.rstrip("\n").rpartition("\n")[2], "significance": 0.5, "confidence": 0.5}]}) for p in prompts]
 
 
 def render(template: str, fields: dict[str, Column]) -> Column:

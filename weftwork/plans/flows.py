@@ -56,7 +56,10 @@ def src_adapter(spark: SparkSession, sf: str) -> DataFrame:
 
 def prompt_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts for all documents, answered by the stand-in model, replies parsed."""
-    docs = table(spark, sf, "documents").where("trim(coalesce(text, '')) <> ''").select("doc_id", prompts.render("Language: {lang}\n{text}", {"lang": F.col("lang"), "text": F.regexp_replace("text", r"\s+", " ")}).alias("prompt"))
+    # white space as SQL has it: runs of these five squeezed, then blanks of any kind trimmed; \v and U+2028 are neither
+    line = F.regexp_replace(F.regexp_replace("text", r"[\t\n\f\r ]+", " "), r"\A\p{Zs}+|\p{Zs}+\z", "")
+    docs = table(spark, sf, "documents").withColumn("text", line).where("text <> ''")
+    docs = docs.select("doc_id", prompts.render("Language: {lang}\n{text}", {"lang": F.col("lang"), "text": F.col("text")}).alias("prompt"))
     return replies.parse_insights(prompts.ask(docs, "prompt", prompts.Echo()), "reply").select("doc_id", "ordinal", "summary")
 
 
