@@ -2,7 +2,9 @@
 
 import datetime as dt
 import random
+import threading
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftwork.operators import chunking, clustering, graph, matching, mutations, prompts, similarity, stats
@@ -67,6 +69,64 @@ def test_best_match_against_all_pairs(spark):
     assert got == want
 
 
+def plain_best(rows, threshold):
+    def j(a, b):
+        return len(a & b) / len(a | b) if a | b else 0.0
+
+    bags = [(i, {x.lower() for x in t or []}, set((s or "").lower().split())) for i, t, s in rows]
+    want = {}
+    for i, t, s in bags:
+        best = max(((0.6 * j(t, u) + 0.4 * j(s, v), -k) for k, u, v in bags if k != i), default=(0, 0))
+        if best[0] >= threshold:
+            want[i] = (-best[1], best[0])
+    return want
+
+
+def test_best_match_in_small_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "NEW_ROWS", 7)
+    monkeypatch.setattr(similarity, "OLD_ROWS", 5)
+    r = random.Random(8)
+    rows = []
+    for i in range(150):
+        n = r.choice([1, 3, 3, 12])
+        themes = None if i % 40 == 0 else [r.choice(["a", "A", "b", "c", "d"]) for _ in range(r.randrange(0, 6))]
+        rows.append((i, themes, None if i % 37 == 0 else r.choice([" ", "\n\t", ""]).join(["", ""]) + " ".join(r.choice("uvwxyz") + r.choice("12") for _ in range(n))))
+    rows += [(500 + k, t, s) for k, (_, t, s) in enumerate(rows[:20])]
+    df = spark.createDataFrame(rows, "id long, themes array<string>, summary string")
+    for threshold in (0.7, 0.5, 0.85):
+        got = {x.id: (x.match, x.score) for x in similarity.best_match(df, df, "id", threshold).collect()}
+        assert got == plain_best(rows, threshold)
+    some = df.where("id % 10 = 0")
+    assert {x.id: x.match for x in similarity.best_match(some, df).collect()} == {i: m for i, (m, _) in plain_best(rows, 0.7).items() if i % 10 == 0}
+    assert similarity.best_match(df.where("id < 0"), df).count() == 0 and similarity.best_match(df, df.where("id < 0")).count() == 0
+
+
+def test_shared_words_heavy_and_light(monkeypatch):
+    r = np.random.default_rng(5)
+    q, e = r.random((30, 40)) < 0.3, r.random((50, 40)) < np.linspace(0, 0.6, 40)
+    for heavy, meetings in ((128, 1 << 22), (4, 10), (10**9, 5), (0, 3)):
+        monkeypatch.setattr(similarity, "HEAVY", heavy)
+        monkeypatch.setattr(similarity, "MEETINGS", meetings)
+        got = similarity._shared(np.nonzero(q), np.nonzero(e), (30, 50), 40)
+        assert (got == q.astype(int) @ e.T.astype(int)).all()
+
+
+def test_best_match_with_hot_themes_ends(spark):
+    # every row shares two themes of three with all others, so nearly all pairs are alike enough by themes, hardly any by words
+    rows = spark.range(24000).select("id", F.array(F.lit("a"), F.lit("b"), F.concat(F.lit("c"), F.col("id") % 40)).alias("themes"), F.array_join(F.transform(F.sequence(F.lit(0), F.lit(19)), lambda k: F.concat(F.lit("w"), F.pmod(F.xxhash64("id", k), F.lit(5000)))), " ").alias("summary"))
+    rows = rows.withColumn("summary", F.when(F.col("id") == 23999, "same words").when(F.col("id") == 7, "words same").otherwise(F.col("summary")))
+    context = spark.sparkContext
+    context.addJobTag("hot-themes")
+    stop = threading.Timer(150, lambda: context.cancelJobsWithTag("hot-themes"))
+    stop.start()
+    try:
+        got = {r.id: (r.match, round(r.score, 9)) for r in similarity.best_match(rows, rows).collect()}
+    finally:
+        stop.cancel()
+        context.removeJobTag("hot-themes")
+    assert got[7] == (23999, 0.7) and got[23999] == (7, 0.7)
+
+
 def test_fold_merges_in_order(spark):
     at = dt.datetime(2025, 1, 1)
     rows = [(2, "walks the dog daily", ["pets"], 0.4, 0.4, at + dt.timedelta(1), 0), (1, "walks the dog daily now", ["pets"], 0.6, 0.6, at, 0), (3, "pays taxes", ["money"], 0.5, 0.5, at, 0)]
