@@ -54,12 +54,15 @@ def src_adapter(spark: SparkSession, sf: str) -> DataFrame:
     return documents.load(table(spark, sf, "documents"), source_type="email", since="2025-02-01").select("doc_id")
 
 
+_BLANKS = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"  # \p{Zs}
+
+
 def prompt_replies(spark: SparkSession, sf: str) -> DataFrame:
     """Prompts for all documents, answered by the stand-in model, replies parsed."""
     # white space as SQL has it: runs of these five squeezed, then blanks of any kind trimmed; \v and U+2028 are neither
-    line = F.regexp_replace(F.regexp_replace("text", r"[\t\n\f\r ]+", " "), r"\A\p{Zs}+|\p{Zs}+\z", "")
-    docs = table(spark, sf, "documents").withColumn("text", line).where("text <> ''")
-    docs = docs.select("doc_id", prompts.render("Language: {lang}\n{text}", {"lang": F.col("lang"), "text": F.col("text")}).alias("prompt"))
+    line = F.trim(F.regexp_replace("text", r"[\t\n\f\r ]+", " "), F.lit(_BLANKS))
+    docs = table(spark, sf, "documents").where(F.col("text").rlike(r"[^\t\n\f\r\p{Zs}]"))
+    docs = docs.select("doc_id", prompts.render("Language: {lang}\n{text}", {"lang": F.col("lang"), "text": line}).alias("prompt"))
     return replies.parse_insights(prompts.ask(docs, "prompt", prompts.Echo()), "reply").select("doc_id", "ordinal", "summary")
 
 
